@@ -50,29 +50,35 @@ def shingle_hashes(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def _sets(width: int):
+def _sets(width: int, with_counts: bool):
+    """A row per text; with_counts: no shingles, but the counts of the classes at the end."""
+
     def run(batches):
-        words, seen = WordHashes(), set()
-        counts = np.zeros(1 << CLASS_BITS, np.int64)
+        words = WordHashes()
+        counts, held, n_held = np.zeros(1 << CLASS_BITS, np.int64), [], 0
         for b in batches:
             out = {f.name: [] for f in _SETS}
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = shingle_hashes(words.of(words_of(text.as_py())), width)
                 sig = sig2 = blob = None
                 if len(h):
-                    raw = h.tobytes()
-                    digest = xxhash.xxh3_128_digest(raw)
+                    blob = h.tobytes()
+                    digest = xxhash.xxh3_128_digest(blob)
                     sig, sig2 = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
-                    if sig not in seen:
-                        blob = raw
-                        if len(seen) < 500_000:
-                            seen.add(sig)
-                    counts += np.bincount((h >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS) if len(h) > 100_000 else 0
-                    if len(h) <= 100_000:
-                        np.add.at(counts, (h >> np.uint64(64 - CLASS_BITS)).astype(np.int64), 1)
+                if len(h) and with_counts:
+                    blob = None
+                    held.append((h >> np.uint64(64 - CLASS_BITS)).astype(np.int32))
+                    n_held += len(h)
                 for k, v in (("doc_id", doc_id), ("n", len(h)), ("sig", sig), ("sig2", sig2), ("shingles", blob)):
                     out[k].append(v)
+            if n_held > 2_000_000:
+                counts += np.bincount(np.concatenate(held), minlength=1 << CLASS_BITS)
+                held, n_held = [], 0
             yield batch(_SETS, **out)
+        if not with_counts:
+            return
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=1 << CLASS_BITS)
         parts = np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)
         yield batch(_SETS, doc_id=[None] * SLICES, n=[-1 - k for k in range(SLICES)], sig=[None] * SLICES, sig2=[None] * SLICES, shingles=[zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in parts])
 
@@ -111,10 +117,10 @@ def prefix_keys(h: np.ndarray, classes: np.ndarray, percent: int) -> tuple[tuple
     return single, (np.concatenate([x[0] for x in hot]), np.concatenate([x[1] for x in hot]))
 
 
-def _index(classes_bc, percent: int, bits: int):
+def _index(classes_bc, percent: int, bits: int, width: int):
     def run(batches):
         classes = np.frombuffer(zlib.decompress(classes_bc.value), np.uint8)
-        seen, buffered, rows = set(), [], 0
+        words, seen, buffered, rows = WordHashes(), set(), [], 0
 
         def flush():
             if not buffered:
@@ -132,12 +138,15 @@ def _index(classes_bc, percent: int, bits: int):
             yield batch(_KEYS, pid=pid[cuts], tok=[tok[a:b].tobytes() for a, b in spans], sig=[sig[a:b].tobytes() for a, b in spans], n=[n[a:b].tobytes() for a, b in spans], left=[left[a:b].tobytes() for a, b in spans])
 
         for b in batches:
-            for sig, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for text in b.column(0):
+                h = shingle_hashes(words.of(words_of(text.as_py())), width)
+                if len(h) < 2:
+                    continue
+                sig = int.from_bytes(xxhash.xxh3_128_digest(h.tobytes())[:8], "little", signed=True)
                 if sig in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(sig)
-                h = np.frombuffer(blob.as_py(), np.uint64)
                 rare, hot = prefix_keys(h, classes, percent)
                 for (keys, places), is_hot in ((rare, False), (hot, True)):
                     if len(keys):
@@ -248,7 +257,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = new_path(spark, "shingles")
-    src.mapInArrow(_sets(width), "doc_id long, n int, sig long, sig2 long, shingles binary").write.parquet(path)
+    src.mapInArrow(_sets(width, True), "doc_id long, n int, sig long, sig2 long, shingles binary").write.parquet(path)
     sets = spark.read.parquet(path)
     rows = sets.where("n >= 0").select("doc_id", "n", "sig", "sig2")
     stats = rows.agg(F.sum(F.col("n").cast("long")).alias("n")).first()
@@ -266,22 +275,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bc = spark.sparkContext.broadcast(zlib.compress(classes.tobytes(), 1))  # 2 ** CLASS_BITS bytes at most, whatever the input
     expected = int((stats["n"] or 0) * (100 - percent) / 100) + 1
     bits = max(6, math.ceil(math.log2(max(1, expected / 1_000_000))))
-    index = sets.where("n > 1 and shingles is not null").select("sig", "shingles").mapInArrow(_index(bc, percent, bits), "pid int, tok binary, sig binary, n binary, left binary")
+    index = src.select("text").mapInArrow(_index(bc, percent, bits, width), "pid int, tok binary, sig binary, n binary, left binary")
     found = keep(index.groupBy("pid").applyInPandas(_propose(percent), _FOUND), "candidates")
     del index
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the index's shuffle files
 
-    needed = keep(found.where("kind < 2").select("a").union(found.select("b")).distinct(), "needed")
-    few = needed.count() <= broadcast_rows
-    wanted = needed.select(F.col("a").alias("sig"))
-    held = sets.where("shingles is not null").select("sig", "shingles").join(F.broadcast(wanted) if few else wanted, "sig", "left_semi")
-    held = keep(held.groupBy("sig").agg(F.first("shingles").alias("shingles")), "held")
+    low = F.lit(-(2**63))
+    holder = keep(rows.where("sig is not null").groupBy("sig").agg(F.min(F.coalesce("doc_id", low)).alias("id")), "holders")  # a row that has the set
 
     def verified(pairs: DataFrame) -> DataFrame:
-        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        """Those of the pairs of sets that link. Only texts that some pair needs are read into sets again."""
+        p = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+        need = keep(p.select("a").union(p.select("b")).distinct().select(F.col("a").alias("sig")).join(holder, "sig"), "needed")
+        few = need.count() <= broadcast_rows
+        ids = need.select("id").distinct()
+        again = src.withColumn("id", F.coalesce("doc_id", low)).join(F.broadcast(ids) if few else ids, "id", "left_semi").select("doc_id", "text")
+        again = again.mapInArrow(_sets(width, False), "doc_id long, n int, sig long, sig2 long, shingles binary").select("sig", F.coalesce("doc_id", low).alias("id"), "shingles")
+        held = keep(again.join(F.broadcast(need) if few else need, ["sig", "id"], "left_semi").select("sig", "shingles"), "held")
         p = p.join(held.select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("sig").alias("b"), F.col("shingles").alias("sb")), "b")
-        return keep(p.mapInArrow(_overlaps(percent), "a long, b long"), "links")
+        return keep(p.mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
 
     fits = f"(least(rest, rest2) * {100 + percent} >= {percent} * (n + m) or n = 65535 or m = 65535)"
     hot = keep(found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("sig"), "n", "rest").distinct(), "hot")
