@@ -89,7 +89,7 @@ def test_documents(spark, tmp_path):
 
 def rows_of(df):
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") else v
+    clean = lambda v: None if v is None or str(v) in ("nan", "<NA>", "NaT") else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") else v
     return sorted(str([clean(v) for v in r]) for r in df.itertuples(index=False, name=None))
 
 
