@@ -278,3 +278,12 @@ def test_pipeline(spark):
     assert len(texts) == len(set(texts))
     sets = [shingle_set(t) for t in texts]
     assert not any(a and b and 100 * len(a & b) >= 75 * len(a | b) for a, b in itertools.combinations(sets, 2))
+
+
+def test_components_of_chains_and_rings(spark):
+    r = random.Random(9)
+    names = r.sample(range(1000), 120)
+    edges = [(names[i], names[i + 1]) for i in range(60)] + [(names[70 + i], names[70 + (i + 1) % 20]) for i in range(20)] + [(names[100], n) for n in names[101:110]]
+    got = {x["node"]: x["label"] for x in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {n: min(part) for part in (names[:61], names[70:90], names[100:110]) for n in part}
+    assert got == want
