@@ -101,9 +101,16 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chain = chain.select("doc_id", "k", "h", "n", *[F.coalesce(f"x{c}", f"b{c}").alias(f"x{c}") for c in ("k", "h")])
     chain = keep(chain, "chain")
     give = chain.select(F.col("xk").alias("k"), F.col("xh").alias("h"), F.col("k").alias("k0"), F.col("h").alias("h0"), F.floor(F.col("n") / 2).cast("int").alias("m"))
-    both = src.select(*key, "text").join(give, ["k", "h"]).select(F.col("k0").alias("k"), F.col("h0").alias("h"), F.substring("text", F.lit(1), F.col("m")).alias("tail")).dropDuplicates(["k", "h"])
-    own = chain.select("k", "h", "n").join(src.select(*key, F.substring("text", F.lit(1), F.char_length("text") - F.floor(F.char_length("text") / 2).cast("int")).alias("front")), ["k", "h"])
-    edited = own.join(both, ["k", "h"]).select("k", "h", F.concat("front", "tail").alias("text")).dropDuplicates(["k", "h"])
+    # Texts move twice: to the lengths that they give and keep, then both pieces to the document that they make up.
+    pieces = src.select(*key, "text").join(give, ["k", "h"]).select(
+        F.explode(
+            F.array(
+                F.struct("k", "h", F.substring("text", F.lit(1), F.char_length("text") - F.floor(F.char_length("text") / 2).cast("int")).alias("front"), F.lit(None).cast("string").alias("tail")),
+                F.struct(F.col("k0").alias("k"), F.col("h0").alias("h"), F.lit(None).cast("string").alias("front"), F.substring("text", F.lit(1), F.col("m")).alias("tail")),
+            )
+        ).alias("p")
+    ).select("p.*")
+    edited = pieces.groupBy("k", "h").agg(F.max("front").alias("front"), F.max("tail").alias("tail")).select("k", "h", F.concat("front", "tail").alias("text"))
     edited = keep(edited, "edited")
     e = edited.select("k", "h", F.sha2("text", 256).alias("edited_sha256"))
     fp = keep(fingerprints(src.select(*key, "text"), ["k", "h"], "text"), "fp")
