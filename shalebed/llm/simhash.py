@@ -9,6 +9,7 @@ key; two fingerprints within the radius agree on at least one block.
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,6 +79,38 @@ def within(queries: DataFrame, held: DataFrame, radius: int = 3) -> DataFrame:
     return a.join(b, ["k", "block"]).select("q", "f", d.alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
+def _edited(t: DataFrame, groups: int) -> DataFrame:
+    """(k, h, doc_id, n, xk, xh, text) of each different (k, h) of t, in the order of descending (k, h): x is the next one's key, text the edited text.
+
+    The order is cut into ranges of about equal row counts (one (k, h) for each is all that the driver sees). A range's
+    first document also goes to the range before it as a guest, so that texts move once.
+    """
+    light = keep(t.select("k", "h"), "order")
+    ranges = light.repartitionByRange(2 * groups, F.desc("k"), F.desc("h")).groupBy(F.spark_partition_id().alias("pid")).agg(F.max(F.struct("k", "h")).alias("first"))
+    firsts = sorted(((r["first"]["k"], r["first"]["h"]) for r in ranges.collect()), reverse=True) or [(0, 0)]  # at most a row for each range
+    bk, bh = F.array(*[F.lit(k).cast("long") for k, _ in firsts]), F.array(*[F.lit(h).cast("long") for _, h in firsts])
+    count, steps = len(firsts), [1 << i for i in reversed(range((len(firsts) - 1).bit_length()))]
+
+    def halve(g: Column, step: Column) -> Column:
+        to = g + step
+        at = F.least(to, F.lit(count - 1))
+        return F.when((to < count) & ((F.get(bk, at) > F.col("k")) | ((F.get(bk, at) == F.col("k")) & (F.get(bh, at) >= F.col("h")))), to).otherwise(g)
+
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve) if steps else F.lit(0)
+    dealt = t.withColumn("g", found)
+    leads = (F.get(bk, F.col("g")) == F.col("k")) & (F.get(bh, F.col("g")) == F.col("h"))
+    before = F.pmod(F.col("g") - 1, F.lit(count))
+    guest = lambda g, flag: F.struct(g.alias("g"), F.lit(flag).alias("guest"))
+    dealt = dealt.select("k", "h", "doc_id", "text", F.explode(F.when(leads, F.array(guest(F.col("g"), 0), guest(before, 1))).otherwise(F.array(guest(F.col("g"), 0)))).alias("to"))
+    dealt = dealt.select("k", "h", "doc_id", "text", "to.g", "to.guest")
+    w = Window.partitionBy("g").orderBy("guest", F.desc("k"), F.desc("h"))
+    # Of repeated rows the last stays: what follows it is another document.
+    chain = dealt.select("*", *[F.lead(c).over(w).alias(f"x{c}") for c in ("k", "h", "guest", "text")]).where("guest = 0 and not (xguest = 0 and xk = k and xh = h)")
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    return chain.select("k", "h", "doc_id", n.alias("n"), "xk", "xh", F.concat(F.substring("text", F.lit(1), n - half), F.substring("xtext", F.lit(1), half)).alias("text"))
+
+
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, query_mod: int = 100) -> DataFrame:
     """One row per different (id, text): (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within).
 
@@ -86,37 +119,17 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     single document is its own next one. n_within: for ids divisible by query_mod, how many other documents' fingerprints lie within the radius;
     null for the rest. Extra columns are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h")]
-    light = keep(src.select(*key, "doc_id", F.char_length("text").alias("n")).distinct(), "order")
-    parts = light.repartitionByRange(F.desc("k"), F.desc("h")).select("*", F.spark_partition_id().alias("pid"))
-    parts = keep(parts, "ranges")
-    w = Window.partitionBy("pid").orderBy(F.desc("k"), F.desc("h"))
-    ends = sorted((r["pid"], r["first"]) for r in parts.groupBy("pid").agg(F.max_by(F.struct("k", "h", "n"), F.struct("k", "h")).alias("first")).collect())  # a row for each partition
     spark = docs.sparkSession
-    bounds = [(pid, *map(int, ends[(i + 1) % len(ends)][1])) for i, (pid, _) in enumerate(ends)]
-    bounds = spark.createDataFrame(bounds, "pid int, bk long, bh long, bn int")
-    chain = parts.select("*", *[F.lead(c).over(w).alias(f"x{c}") for c in ("k", "h")]).join(F.broadcast(bounds), "pid")
-    chain = chain.select("doc_id", "k", "h", "n", *[F.coalesce(f"x{c}", f"b{c}").alias(f"x{c}") for c in ("k", "h")])
-    chain = keep(chain, "chain")
-    give = chain.select(F.col("xk").alias("k"), F.col("xh").alias("h"), F.col("k").alias("k0"), F.col("h").alias("h0"), F.floor(F.col("n") / 2).cast("int").alias("m"))
-    # Texts move twice: to the lengths that they give and keep, then both pieces to the document that they make up.
-    pieces = src.select(*key, "text").join(give, ["k", "h"]).select(
-        F.explode(
-            F.array(
-                F.struct("k", "h", F.substring("text", F.lit(1), F.char_length("text") - F.floor(F.char_length("text") / 2).cast("int")).alias("front"), F.lit(None).cast("string").alias("tail")),
-                F.struct(F.col("k0").alias("k"), F.col("h0").alias("h"), F.lit(None).cast("string").alias("front"), F.substring("text", F.lit(1), F.col("m")).alias("tail")),
-            )
-        ).alias("p")
-    ).select("p.*")
-    edited = pieces.groupBy("k", "h").agg(F.max("front").alias("front"), F.max("tail").alias("tail")).select("k", "h", F.concat("front", "tail").alias("text"))
-    edited = keep(edited, "edited")
-    e = edited.select("k", "h", F.sha2("text", 256).alias("edited_sha256"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h")]
+    edited = keep(_edited(src.select(*key, "doc_id", "text"), int(spark.conf.get("spark.sql.shuffle.partitions"))), "edited")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the texts' shuffle files
     fp = keep(fingerprints(src.select(*key, "text"), ["k", "h"], "text"), "fp")
     efp = keep(fingerprints(edited, ["k", "h"], "text").withColumnRenamed("fingerprint", "edited_fingerprint"), "efp")
+    e = edited.select("k", "h", "doc_id", "n", "xk", "xh", F.sha2("text", 256).alias("edited_sha256"))
     nxt = fp.select(F.col("k").alias("xk"), F.col("h").alias("xh"), F.col("fingerprint").alias("next_fp"))
-    out = keep(chain.join(fp, ["k", "h"]).join(efp, ["k", "h"]).join(e, ["k", "h"]).join(nxt, ["xk", "xh"]), "prints")
+    out = keep(e.join(fp, ["k", "h"]).join(efp, ["k", "h"]).join(nxt, ["xk", "xh"]), "prints")
     held = keep(out.groupBy("fingerprint").agg(F.count("*").alias("c"), F.max(F.col("doc_id") % query_mod == 0).alias("asked")), "held")
     near = within(held.where("asked").select(F.col("fingerprint").alias("q")), held.select(F.col("fingerprint").alias("f")), radius)
     near = keep(near.join(held.select(F.col("fingerprint").alias("f"), "c"), "f").groupBy("q").agg((F.sum("c") - 1).alias("n_within")), "near")
