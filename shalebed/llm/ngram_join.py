@@ -15,6 +15,7 @@ Rare keys have a proven bound (the count of their class); frequent keys go throu
 
 from __future__ import annotations
 
+import functools
 import gc
 import math
 import zlib
@@ -283,18 +284,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     low = F.lit(-(2**63))
     holder = keep(rows.where("sig is not null").groupBy("sig").agg(F.min(F.coalesce("doc_id", low)).alias("id")), "holders")  # a row that has the set
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs of sets that link. Only texts that some pair needs are read into sets again."""
+    pool: list[DataFrame] = []  # the sets that were read again so far
+
+    def linked(pairs: DataFrame) -> DataFrame:
         p = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-        need = keep(p.select("a").union(p.select("b")).distinct().select(F.col("a").alias("sig")).join(holder, "sig"), "needed")
+        side = lambda c: p.select(F.col(c).alias("sig"), F.lit(c == "a").alias("as_a"), F.lit(c == "b").alias("as_b"))
+        need = keep(side("a").union(side("b")).groupBy("sig").agg(F.max("as_a").alias("as_a"), F.max("as_b").alias("as_b")), "needed")
         few = need.count() <= broadcast_rows
-        ids = need.select("id").distinct()
-        again = src.withColumn("id", F.coalesce("doc_id", low)).join(F.broadcast(ids) if few else ids, "id", "left_semi").select("doc_id", "text")
+        small = lambda df: F.broadcast(df) if few else df
+        new = need.select("sig")
+        for known in pool:
+            new = new.join(known.select("sig"), "sig", "left_anti")
+        new = keep(new.join(holder, "sig"), "new")
+        again = src.withColumn("id", F.coalesce("doc_id", low)).join(small(new.select("id").distinct()), "id", "left_semi").select("doc_id", "text")
         again = again.mapInArrow(_sets(width, False), "doc_id long, n int, sig long, sig2 long, shingles binary").select("sig", F.coalesce("doc_id", low).alias("id"), "shingles")
-        held = keep(again.join(F.broadcast(need) if few else need, ["sig", "id"], "left_semi").select("sig", "shingles"), "held")
-        p = p.join(held.select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("sig").alias("b"), F.col("shingles").alias("sb")), "b")
+        pool.append(keep(again.join(small(new), ["sig", "id"], "left_semi").select("sig", "shingles"), "held"))
+        held = functools.reduce(DataFrame.unionByName, pool).join(small(need), "sig")
+        p = p.join(held.where("as_a").select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), "a").join(held.where("as_b").select(F.col("sig").alias("b"), F.col("shingles").alias("sb")), "b")
         return keep(p.mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs of sets that link. Only texts that some pair needs are read into sets again, and once."""
+        out = linked(pairs)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets Spark drop the sets' shuffle files
+        return out
+
     fits = f"(least(rest, rest2) * {100 + percent} >= {percent} * (n + m) or n = 65535 or m = 65535)"
     hot = keep(found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("sig"), "n", "rest").distinct(), "hot")
     any_hot = bool(hot.take(1))
