@@ -33,8 +33,11 @@ CLASS_BITS = 20
 SLICES = 16
 COMBO, COMBO_UP = 96, 128  # COMBO / 0.75 = COMBO_UP: the largest partner of a set of COMBO shingles
 PAIRS_UP_TO = 32
+BLOCK = 1024
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("sig2", pa.int64()), ("shingles", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("sig2", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
+_SETS_DDL = "doc_id long, n int, sig long, sig2 long, sketch binary, shingles binary"
+SKETCH_BITS = 8  # a shingle, at least; a power of two in all
 
 
 def shingle_hashes(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -51,6 +54,20 @@ def shingle_hashes(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def sketch_of(h: np.ndarray) -> bytes:
+    """A bitmap with the bit of each shingle's low hash bits set."""
+    bits = np.zeros(max(64, 1 << (SKETCH_BITS * len(h) - 1).bit_length()), np.bool_)
+    bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> int:
+    """An upper bound on the shared shingles of two sets, from their sketches: each bit of one that the other lacks is a shingle that it lacks."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return min(n_x - int(np.bitwise_count(x & ~y).sum()), n_y - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _sets(width: int, with_counts: bool):
     """A row per text; with_counts: no shingles, but the counts of the classes at the end."""
 
@@ -61,16 +78,17 @@ def _sets(width: int, with_counts: bool):
             out = {f.name: [] for f in _SETS}
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = shingle_hashes(words.of(words_of(text.as_py())), width)
-                sig = sig2 = blob = None
+                sig = sig2 = blob = sketch = None
                 if len(h):
                     blob = h.tobytes()
+                    sketch = None if with_counts else sketch_of(h)
                     digest = xxhash.xxh3_128_digest(blob)
                     sig, sig2 = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
                 if len(h) and with_counts:
                     blob = None
                     held.append((h >> np.uint64(64 - CLASS_BITS)).astype(np.int32))
                     n_held += len(h)
-                for k, v in (("doc_id", doc_id), ("n", len(h)), ("sig", sig), ("sig2", sig2), ("shingles", blob)):
+                for k, v in (("doc_id", doc_id), ("n", len(h)), ("sig", sig), ("sig2", sig2), ("sketch", sketch), ("shingles", blob)):
                     out[k].append(v)
             if n_held > 2_000_000:
                 counts += np.bincount(np.concatenate(held), minlength=1 << CLASS_BITS)
@@ -81,7 +99,7 @@ def _sets(width: int, with_counts: bool):
         if held:
             counts += np.bincount(np.concatenate(held), minlength=1 << CLASS_BITS)
         parts = np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)
-        yield batch(_SETS, doc_id=[None] * SLICES, n=[-1 - k for k in range(SLICES)], sig=[None] * SLICES, sig2=[None] * SLICES, shingles=[zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in parts])
+        yield batch(_SETS, doc_id=[None] * SLICES, n=[-1 - k for k in range(SLICES)], sig=[None] * SLICES, sig2=[None] * SLICES, sketch=[None] * SLICES, shingles=[zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in parts])
 
     return run
 
@@ -211,6 +229,20 @@ def _propose(percent: int):
     return run
 
 
+def _may_link(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            good = []
+            for x, y, n, m in zip(b.column("ka"), b.column("kb"), b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                good.append((100 + percent) * most_shared(x, y, n, m) >= percent * (n + m))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=schema).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _overlaps(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -257,7 +289,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = new_path(spark, "shingles")
-    src.mapInArrow(_sets(width, True), "doc_id long, n int, sig long, sig2 long, shingles binary").write.parquet(path)
+    src.mapInArrow(_sets(width, True), _SETS_DDL).write.parquet(path)
     sets = spark.read.parquet(path)
     rows = sets.where("n >= 0").select("doc_id", "n", "sig", "sig2")
     stats = rows.agg(F.sum(F.col("n").cast("long")).alias("n")).first()
@@ -286,22 +318,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     pool: list[DataFrame] = []  # the sets that were read again so far
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        p = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    def needed(p: DataFrame) -> tuple[DataFrame, object]:
+        """The sets that pairs name, and broadcast() if they are few enough for it."""
         side = lambda c: p.select(F.col(c).alias("sig"), F.lit(c == "a").alias("as_a"), F.lit(c == "b").alias("as_b"))
         need = keep(side("a").union(side("b")).groupBy("sig").agg(F.max("as_a").alias("as_a"), F.max("as_b").alias("as_b")), "needed")
-        few = need.count() <= broadcast_rows
-        small = lambda df: F.broadcast(df) if few else df
+        return need, F.broadcast if need.count() <= broadcast_rows else (lambda df: df)
+
+    def with_sides(p: DataFrame, need: DataFrame, small, **cols: str) -> DataFrame:
+        """p with columns of the sets that it names; cols: column of the pool -> its name before a or b."""
+        held = functools.reduce(DataFrame.unionByName, pool).select("sig", *cols).join(small(need), "sig")
+        for c in ("a", "b"):
+            p = p.join(held.where(f"as_{c}").select(F.col("sig").alias(c), *[F.col(k).alias(v + c) for k, v in cols.items()]), c)
+        return p
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        p = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+        need, small = needed(p)
         new = need.select("sig")
         for known in pool:
             new = new.join(known.select("sig"), "sig", "left_anti")
         new = keep(new.join(holder, "sig"), "new")
         again = src.withColumn("id", F.coalesce("doc_id", low)).join(small(new.select("id").distinct()), "id", "left_semi").select("doc_id", "text")
-        again = again.mapInArrow(_sets(width, False), "doc_id long, n int, sig long, sig2 long, shingles binary").select("sig", F.coalesce("doc_id", low).alias("id"), "shingles")
-        pool.append(keep(again.join(small(new), ["sig", "id"], "left_semi").select("sig", "shingles"), "held"))
-        held = functools.reduce(DataFrame.unionByName, pool).join(small(need), "sig")
-        p = p.join(held.where("as_a").select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), "a").join(held.where("as_b").select(F.col("sig").alias("b"), F.col("shingles").alias("sb")), "b")
-        return keep(p.mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
+        again = again.mapInArrow(_sets(width, False), _SETS_DDL).select("sig", F.coalesce("doc_id", low).alias("id"), "n", "sketch", "shingles")
+        pool.append(keep(again.join(small(new), ["sig", "id"], "left_semi").select("sig", "n", "sketch", "shingles").dropDuplicates(["sig"]), "held"))
+        maybe = keep(with_sides(p, need, small, n="n", sketch="k").mapInArrow(_may_link(percent), "a long, b long"), "maybe")
+        return keep(with_sides(maybe, *needed(maybe), shingles="s").mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs of sets that link. Only texts that some pair needs are read into sets again, and once."""
@@ -315,7 +356,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     any_hot = bool(hot.take(1))
 
     def star(members: DataFrame, salt: int) -> DataFrame:
-        centre = keep(members.groupBy("key").agg(F.min_by(F.struct("sig", "n", "rest", *[c for c in ("label",) if c in members.columns]), F.xxhash64("sig", F.lit(salt))).alias("c")), "centres")
+        """Each key's member with the fewest rarer shingles before the key (the least edited copy), with every other member."""
+        centre = keep(members.groupBy("key").agg(F.min_by(F.struct("sig", "n", "rest", *[c for c in ("label",) if c in members.columns]), F.struct(-F.col("rest") / F.col("n"), F.xxhash64("sig", F.lit(salt)))).alias("c")), "centres")
         j = members.join(centre, "key").select("*", F.col("c.n").alias("m"), F.col("c.rest").alias("rest2")).where(fits)
         if "label" in members.columns:
             j = j.where("label <> c.label")
@@ -343,14 +385,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         mixed = keep(marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
         return keep(marked.join(mixed, "key", "left_semi"), "members")
 
+    def all_apart(members: DataFrame) -> DataFrame:
+        """Pairs of members of a key in different components, as far as place and size leave a link possible; large groups are split into blocks."""
+        least_n = members.groupBy("key").agg(F.min("n").alias("least_n"))
+        left = keep(members.join(least_n, "key").where(f"rest * {100 + percent} >= {percent} * (n + least_n) or n = 65535").drop("least_n"), "possible")
+        sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "blocks")
+        left = left.join(sizes, "key")
+        other = left.select("key", F.col("sig").alias("s2"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("label").alias("l2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        return left.withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int")).join(other, ["key", "block"]).where("sig < s2 and label <> l2").where(fits).select(F.col("sig").alias("a"), F.col("s2").alias("b"))
+
     rest = labelled(labelled(found.where("kind = 1").select("a", "b").distinct(), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
     if any_hot:
         rest = rest.union(star(members_apart(), 1))
     lab = joined(verified(rest))
     if any_hot:
-        members = members_apart()
-        other = members.select("key", F.col("sig").alias("s2"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("label").alias("l2"))
-        lab = joined(verified(members.join(other, "key").where("sig < s2 and label <> l2").where(fits).select(F.col("sig").alias("a"), F.col("s2").alias("b"))))
+        lab = joined(verified(all_apart(members_apart())))
     full = labelled(rows.where("sig is not null").select("doc_id", "n", "sig"), "sig", "comp")
     full = keep(full, "classes")
     least = keep(full.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
