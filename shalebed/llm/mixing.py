@@ -157,5 +157,6 @@ def mixed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), *features(F.col(text_col), mixer.lexicon))
     out = mixer.with_posteriors(packed)
-    out = out.select("row", copies(mixer.rate(), F.col("doc_id"), F.col("h")).alias("copies")).where("copies > 0")
+    # the row number keeps the filter above the select: pushed down, it would repeat the features of whole texts for each use of a posterior
+    out = out.select("row", copies(mixer.rate(), F.col("doc_id"), F.col("h")).alias("copies"), F.monotonically_increasing_id().alias("at")).where("copies > 0 and at >= 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*[F.col("row").getField(c).alias(c) for c in names])
