@@ -1,9 +1,10 @@
 """Operator 8: language-model scores from a log-frequency Bloom filter.
 
 Word and word-pair counts of the training rows meet by hash partition, as packed arrays. Each partition turns its
-counts c into levels 1 + floor(log2 c) and sets, for every level up to that, K bits in its own slice of one filter.
-The filter is broadcast; its size is the number of (n-gram, level) entries times BITS, each slice at most its share of
-max_filter_bytes: past that bound entries get fewer bits, so the false-positive rate grows but memory doesn't.
+counts c into levels 1 + floor(log2 c) and sets, for every level up to that, K bits in one of its 2**SUB_BITS slices of
+the filter. A slice has BITS bits for each of its (n-gram, level) entries, however many there are. A filter of at most
+max_filter_bytes is broadcast. A larger one stays where it is: the texts' distinct n-grams, chunk by chunk, are sent to
+their slices and the levels come back to the chunk. Both ways probe the same bits, so scores don't depend on the way.
 A count is read by probing level after level until one is missing. P(w | v) = L * c(vw) / c(v) + (1 - L) * (c(w) + 1) / (N + V + 1).
 
 The base score needs exact counts: the most frequent words (at most top_words) are broadcast, all others are
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shalebed.llm.common import WordHashes, batch, crc_mod, keep, mix, small_batches, words_of
 
-PARTS_BITS, BITS, K, LAMBDA = 6, 8, 4, 0.7
+PARTS_BITS, SUB_BITS, BITS, K, LAMBDA = 6, 6, 8, 4, 0.7
 END, START = 0x1D8E4E27C47D124F, 0x7B1C9F3A5E2D4C61  # hashes of the end and start marks, which no word can be
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -42,6 +43,11 @@ def _probes(key48: np.ndarray, level: int, size):
     return [((a >> np.uint64(1)) + np.uint64(j) * step) % size for j in range(K)]
 
 
+def _slice_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The slice of mixed 64-bit keys: the partition by the highest bits, its part by the highest of the low 48."""
+    return ((keys >> np.uint64(64 - bits)) << np.uint64(SUB_BITS) | (keys & _LOW48) >> np.uint64(48 - SUB_BITS)).astype(np.int64)
+
+
 def token_arrays(texts, hashes: WordHashes):
     """(tokens, offsets): each text's word hashes and one end mark."""
     arrays = []
@@ -112,8 +118,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray):
     return keys[cuts], np.add.reduceat(counts, cuts) if len(cuts) else counts[:0]
 
 
-def _build(slice_bytes: int, top: int):
-    """One partition: exact word counts as they are, and its slice of the filter (words and pairs)."""
+def _build(top: int):
+    """One partition: exact word counts as they are, and its slices of the filter (words and pairs)."""
 
     def run(pdf):
         import pandas as pd
@@ -123,51 +129,79 @@ def _build(slice_bytes: int, top: int):
         pairs, pair_counts = _summed(_unpack48(two["keys"]), np.frombuffer(b"".join(two["counts"]), np.uint16))
         keys = np.concatenate([single_keys(words) & _LOW48, pairs])
         levels = (np.floor(np.log2(np.r_[counts, pair_counts].astype(float))) + 1).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-        size = int(min(slice_bytes * 8, max(64, BITS * int(levels.sum()))))
-        bits = np.zeros(size, bool)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            for at in _probes(keys[levels >= level], level, np.uint64(size)):
-                bits[at.astype(np.int64)] = True
+        order = np.argsort(keys)
+        keys, levels = keys[order], levels[order]
+        cuts = np.searchsorted(keys, np.arange(1, 1 << SUB_BITS, dtype=np.uint64) << np.uint64(48 - SUB_BITS))
+        sizes, blobs = [], []
+        for k, level in zip(np.split(keys, cuts), np.split(levels, cuts), strict=True):
+            sizes.append(-(-max(64, BITS * int(level.sum())) // 8) * 8)
+            bits = np.zeros(sizes[-1], bool)
+            for at_level in range(1, int(level.max(initial=0)) + 1):
+                for at in _probes(k[level >= at_level], at_level, np.uint64(sizes[-1])):
+                    bits[at.astype(np.int64)] = True
+            blobs.append(np.packbits(bits, bitorder="little").tobytes())
         frequent = np.argsort(-counts, kind="stable")[:top]
-        return pd.DataFrame({"pid": [int(pdf["pid"].iloc[0])], "words": [words.tobytes()], "counts": [counts.tobytes()], "n": [int(counts.sum())], "v": [len(words)], "size": [size], "bits": [np.packbits(bits, bitorder="little").tobytes()], "top_words": [words[frequent].tobytes()], "top_counts": [counts[frequent].tobytes()]})
+        return pd.DataFrame({"pid": [int(pdf["pid"].iloc[0])], "words": [words.tobytes()], "counts": [counts.tobytes()], "n": [int(counts.sum())], "v": [len(words)], "sizes": [np.array(sizes, np.int64).tobytes()], "bits": [b"".join(blobs)], "top_words": [words[frequent].tobytes()], "top_counts": [counts[frequent].tobytes()]})
 
     return run
 
 
+def _levels(key48: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The number of levels, from the first up, that are all present: of keys whose slice starts at a byte of data and has size bits."""
+    out, rest = np.zeros(len(key48), np.int64), np.arange(len(key48))
+    level = 1
+    while len(rest):
+        found = np.ones(len(rest), bool)
+        for at in _probes(key48[rest], level, size[rest]):
+            found &= (data[start[rest] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        rest = rest[found]
+        out[rest] = level
+        level += 1
+        if level > 48:
+            break
+    return out
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1.0)))
+
+
 class LogFrequencyFilter:
-    """Slices by partition; counts are read back as the middle of their level."""
+    """All slices of partitions' (sizes, bits); counts are read back as the middle of their level."""
 
-    def __init__(self, slices: dict[int, tuple[int, bytes]], bits: int):
+    def __init__(self, parts: dict[int, tuple[bytes, bytes]], bits: int):
         self.bits = bits
-        parts = 1 << bits
-        self.sizes = np.array([slices[p][0] if p in slices else 64 for p in range(parts)], np.uint64)
-        blobs = [slices[p][1] if p in slices else bytes(8) for p in range(parts)]
-        self.starts = np.r_[0, np.cumsum([len(x) for x in blobs])][:-1].astype(np.int64)
-        self.data = np.frombuffer(b"".join(blobs), np.uint8)
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """For mixed 64-bit keys: the number of levels, from the first up, that are all present."""
-        out, rest = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        level = 1
-        while len(rest):
-            k = keys[rest]
-            pid = (k >> np.uint64(64 - self.bits)).astype(np.int64)
-            start, found = self.starts[pid], np.ones(len(rest), bool)
-            for at in _probes(k & _LOW48, level, self.sizes[pid]):
-                found &= (self.data[start + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            rest = rest[found]
-            out[rest] = level
-            level += 1
-            if level > 48:
-                break
-        return out
+        none = (np.full(1 << SUB_BITS, 64, np.int64).tobytes(), bytes(8 << SUB_BITS))
+        held = [parts.get(p, none) for p in range(1 << bits)]
+        sizes = np.frombuffer(b"".join(x[0] for x in held), np.int64)
+        self.sizes, self.starts = sizes.astype(np.uint64), np.r_[0, np.cumsum(sizes // 8)][:-1]
+        self.data = np.frombuffer(b"".join(x[1] for x in held), np.uint8)
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        at = _slice_of(keys, self.bits)
+        return _middle(_levels(keys & _LOW48, self.data, self.starts[at], self.sizes[at]))
+
+
+class Answers:
+    """Levels that slices have sent back for distinct keys, in place of the filter."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.levels = keys[order], levels[order].astype(np.int64)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        level = self.levels(keys)
-        return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1.0)))
+        return _middle(self.levels[np.searchsorted(self.keys, keys)])
 
 
-def log_probabilities(f: LogFrequencyFilter, tokens: np.ndarray, prev: np.ndarray, n: int, v: int) -> np.ndarray:
+def _questions(tokens: np.ndarray, prev: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, slices): the distinct keys that tokens after prev ask for, in the order of their slices."""
+    keys = np.unique(np.r_[single_keys(np.unique(np.r_[tokens, prev])), pair_keys(prev, tokens)])
+    at = _slice_of(keys, bits)
+    order = np.argsort(at, kind="stable")
+    return keys[order], at[order]
+
+
+def log_probabilities(f: LogFrequencyFilter | Answers, tokens: np.ndarray, prev: np.ndarray, n: int, v: int) -> np.ndarray:
     u, at = np.unique(np.r_[tokens, prev], return_inverse=True)
     single = f.counts(single_keys(u))[at]
     word, context = single[: len(tokens)], single[len(tokens) :]
@@ -180,11 +214,13 @@ def log_probabilities(f: LogFrequencyFilter, tokens: np.ndarray, prev: np.ndarra
 _SCORED = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("pid", pa.int32()), ("rows", pa.binary()), ("keys", pa.binary()), ("tf", pa.binary())])
 
 
-def _score(model_bc, bits: int):
+def _score(model_bc, bits: int, room: int = 1_500_000):
+    """Without a filter in the model, score is null and chunks ask: kind 2 is a chunk's keys for a slice, kind 3 its texts."""
+
     def run(batches):
         f, top_words, top_counts, n, v = model_bc.value
         words, first = WordHashes(), (TaskContext.get().partitionId() << 40)
-        done, held, rows_held = 0, [], 0
+        done, held, rows_held, asking, tokens_held = 0, [], 0, [], 0
 
         def column(m, **have):
             return batch(_SCORED, **{k.name: have.get(k.name, [None] * m) for k in _SCORED})
@@ -197,13 +233,25 @@ def _score(model_bc, bits: int):
             spans = _spans(pid)
             return column(len(spans), kind=[1] * len(spans), pid=[int(pid[a]) for a, _ in spans], rows=[row[a:b].tobytes() for a, b in spans], keys=[key[a:b].tobytes() for a, b in spans], tf=[tf[a:b].tobytes() for a, b in spans])
 
+        def ask():
+            row, tokens, sizes, prev = (np.concatenate([x[i] for x in asking]) for i in range(4))
+            keys, at = _questions(tokens, prev, bits)
+            spans = _spans(at)
+            yield column(len(spans), kind=[2] * len(spans), row=[int(row[0])] * len(spans), pid=[int(at[a]) for a, _ in spans], keys=[keys[a:b].tobytes() for a, b in spans])
+            yield column(1, kind=[3], row=[int(row[0])], rows=[row.tobytes()], keys=[tokens.tobytes()], tf=[sizes.tobytes()])
+
         for b in batches:
             m = b.num_rows
             if not m:
                 continue
             tokens, offsets = token_arrays((x.as_py() for x in b.column(1)), words)
             sizes = np.diff(offsets)
-            score = np.add.reduceat(log_probabilities(f, tokens, previous(tokens, offsets), n, v), offsets[:-1])
+            prev, score = previous(tokens, offsets), [None] * m
+            if f is not None:
+                score = np.add.reduceat(log_probabilities(f, tokens, prev, n, v), offsets[:-1])
+            else:
+                asking.append((first + done + np.arange(m), tokens, sizes, prev))
+                tokens_held += len(tokens)
             at = np.minimum(np.searchsorted(top_words, tokens), max(0, len(top_words) - 1))
             hit = top_words[at] == tokens if len(top_words) else np.zeros(len(tokens), bool)
             base = np.where(hit, np.log10(top_counts[at] + 1.0) if len(top_words) else 0.0, 0.0)
@@ -219,8 +267,13 @@ def _score(model_bc, bits: int):
             if rows_held > 1_000_000:
                 yield flush()
                 held, rows_held = [], 0
+            if tokens_held >= room:
+                yield from ask()
+                asking, tokens_held = [], 0
         if rows_held:
             yield flush()
+        if asking:
+            yield from ask()
 
     return run
 
@@ -252,6 +305,44 @@ def _partial(bits: int):
     return run
 
 
+def _slices(batches):
+    schema = pa.schema([("pid", pa.int32()), ("bits", pa.binary())])
+    for b in batches:
+        for pid, sizes, bits in zip(*(b.column(k) for k in range(3)), strict=True):
+            ends, raw = np.cumsum(np.frombuffer(sizes.as_py(), np.int64) // 8), bits.as_py()
+            for k, (x, y) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
+                yield batch(schema, pid=[pid.as_py() << SUB_BITS | k], bits=[raw[x:y]])
+
+
+def _answer(key, asked, held):
+    """One slice's levels for the keys of each chunk."""
+    import pandas as pd
+
+    sizes = [len(k) // 8 for k in asked["keys"]]
+    keys = np.frombuffer(b"".join(asked["keys"]), np.uint64)
+    levels = np.zeros(len(keys), np.int64)
+    for bits in held["bits"]:
+        levels = _levels(keys & _LOW48, np.frombuffer(bits, np.uint8), np.zeros(len(keys), np.int64), np.full(len(keys), 8 * len(bits), np.uint64))
+    parts = np.split(levels.astype(np.uint8), np.cumsum(sizes)[:-1]) if sizes else []
+    return pd.DataFrame({"row": asked["row"].to_numpy(np.int64), "pid": asked["pid"].to_numpy(np.int32), "levels": [x.tobytes() for x in parts]})
+
+
+def _rescore(n: int, v: int, bits: int):
+    """One chunk: its texts' scores from the levels that its slices have sent back."""
+
+    def run(key, texts, answers):
+        import pandas as pd
+
+        row, tokens, sizes = (np.frombuffer(texts[c].iloc[0], t) for c, t in (("rows", np.int64), ("keys", np.uint64), ("tf", np.int64)))
+        offsets = np.r_[0, np.cumsum(sizes)]
+        prev = previous(tokens, offsets)
+        levels = np.frombuffer(b"".join(answers.sort_values("pid")["levels"]), np.uint8)
+        f = Answers(_questions(tokens, prev, bits)[0], levels)
+        return pd.DataFrame({"row": row, "sent_score": np.add.reduceat(log_probabilities(f, tokens, prev, n, v), offsets[:-1])})
+
+    return run
+
+
 def _gathered(pdf):
     import pandas as pd
 
@@ -272,10 +363,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     held_out = F.coalesce(crc_mod(F.col("doc_id"), held_out_mod) == held_out_rest, F.lit(False))
     parts = 1 << part_bits
     counted = src.where(~held_out).select("text").mapInArrow(_count(part_bits), "kind int, pid int, keys binary, counts binary")
-    model = keep(counted.groupBy("pid").applyInPandas(_build(max_filter_bytes // parts, max(1, top_words // parts)), "pid int, words binary, counts binary, n long, v long, size long, bits binary, top_words binary, top_counts binary"), "lm")
-    slices = model.select("pid", "n", "v", "size", "bits", "top_words", "top_counts").collect()  # max_filter_bytes and top_words bound it
+    model = keep(counted.groupBy("pid").applyInPandas(_build(max(1, top_words // parts)), "pid int, words binary, counts binary, n long, v long, sizes binary, bits binary, top_words binary, top_counts binary"), "lm")
+    slices = model.select("pid", "n", "v", "sizes", F.length("bits").alias("n_bytes"), "top_words", "top_counts").collect()  # top_words bounds it
     n, v = sum(r["n"] for r in slices), sum(r["v"] for r in slices)
-    f = LogFrequencyFilter({r["pid"]: (r["size"], bytes(r["bits"])) for r in slices}, part_bits)
+    sent = sum(r["n_bytes"] for r in slices) > max_filter_bytes
+    f = None if sent else LogFrequencyFilter({r["pid"]: (bytes(r["sizes"]), bytes(r["bits"])) for r in model.select("pid", "sizes", "bits").collect()}, part_bits)  # at most max_filter_bytes
     top = np.frombuffer(b"".join(r["top_words"] for r in slices), np.uint64)
     top_counts = np.frombuffer(b"".join(r["top_counts"] for r in slices), np.int64)
     del slices
@@ -286,5 +378,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     sums = scored.where("kind = 1").select("pid", "rows", "keys", "tf").groupBy("pid").cogroup(model.select("pid", "words", "counts").groupBy("pid")).applyInPandas(_partial(part_bits), "pid int, rows binary, known binary, base binary")
     sums = keep(sums.groupBy("pid").applyInPandas(_gathered, "row long, more_known long, more_base double"), "sums")
     out = scored.where("kind = 0").select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(sums, "row", "left")
+    if sent:
+        held = model.select("pid", "sizes", "bits").mapInArrow(_slices, "pid int, bits binary")
+        answers = scored.where("kind = 2").select("row", "pid", "keys").groupBy("pid").cogroup(held.groupBy("pid")).applyInPandas(_answer, "row long, pid int, levels binary")
+        chunks = scored.where("kind = 3").select(F.col("row").alias("chunk"), "rows", "keys", "tf").groupBy("chunk")
+        scores = keep(chunks.cogroup(answers.withColumnRenamed("row", "chunk").groupBy("chunk")).applyInPandas(_rescore(n, v, part_bits), "row long, sent_score double"), "scores")
+        out = out.join(scores, "row").withColumn("score", F.col("sent_score"))
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     return out.select(F.col("doc_id").alias(id_col), held_out.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

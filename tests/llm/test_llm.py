@@ -219,6 +219,13 @@ def test_lm(docs, none):
     assert lm_scoring.lm_scores(none).count() == 0
 
 
+def test_lm_filter_keeps_its_bits(docs):
+    key = lambda r: (r["n_tokens"], r["n_known"], r["score"])
+    whole = sorted(map(key, lm_scoring.lm_scores(docs).collect()))
+    for most in (0, 1000):  # a filter too large for a broadcast gives the same scores
+        assert sorted(map(key, lm_scoring.lm_scores(docs, max_filter_bytes=most).collect())) == whole
+
+
 def test_url_rules(spark):
     rules = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("org", "/fr/"): "allow"}
     urls = [None, "", "x", "http://NET/", "http://a.net", "http://a.net/x", "https://www.example.net/en/1?x", "https://example.net/de/", "http://example.org/fr/#a", "http://planet/", "http://x.org/fr", "http://x.org:80/fr/"]
