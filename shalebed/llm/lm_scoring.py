@@ -25,6 +25,7 @@ PARTS_BITS, SUB_BITS, BITS, K, LAMBDA = 6, 6, 8, 4, 0.7
 END, START = 0x1D8E4E27C47D124F, 0x7B1C9F3A5E2D4C61  # hashes of the end and start marks, which no word can be
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.uint64((1 << 48) - 1)
+_MOST = 65_535
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -81,13 +82,19 @@ def _count(bits: int, room: int = 1_500_000):
             prev = np.concatenate([x[1] for x in held])
             for kind, keys in ((0, tokens), (1, pair_keys(prev, tokens))):
                 keys, counts = np.unique(keys, return_counts=True)
+                if kind:  # 16 bits for a pair's count: a larger one goes as several, which add up again
+                    times = -(-counts // _MOST)
+                    last = np.cumsum(times) - 1
+                    rest = counts - (times - 1) * _MOST
+                    keys, counts = np.repeat(keys, times), np.full(times.sum(), _MOST)
+                    counts[last] = rest
                 pid = ((keys if kind else single_keys(keys)) >> np.uint64(64 - bits)).astype(np.int32)
                 if not kind:
                     order = np.argsort(pid, kind="stable")
                     keys, counts, pid = keys[order], counts[order], pid[order]
                 spans = _spans(pid)
                 pack = (lambda k: (k & _LOW48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) if kind else (lambda k: k.tobytes())
-                c = np.minimum(counts, 2**32 - 1).astype(np.uint32) if not kind else np.minimum(counts, 65535).astype(np.uint16)
+                c = np.minimum(counts, 2**32 - 1).astype(np.uint32) if not kind else counts.astype(np.uint16)
                 yield batch(_COUNTED, kind=[kind] * len(spans), pid=[int(pid[a]) for a, _ in spans], keys=[pack(keys[a:b]) for a, b in spans], counts=[c[a:b].tobytes() for a, b in spans])
 
         for b in batches:

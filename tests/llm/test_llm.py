@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shalebed.llm import exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, simhash, toxicity, url_filter, warc
@@ -226,6 +227,13 @@ def test_lm_filter_keeps_its_bits(docs):
         assert sorted(map(key, lm_scoring.lm_scores(docs, max_filter_bytes=most).collect())) == whole
 
 
+def test_lm_counts_of_hot_pairs():
+    rows = pa.RecordBatch.from_pydict({"text": ["spam " * 200_001, "ham eggs", "spam spam"]})
+    got = [r for b in lm_scoring._count(6)([rows]) for r in b.to_pylist() if r["kind"] == 1]
+    keys, counts = lm_scoring._summed(lm_scoring._unpack48([r["keys"] for r in got]), np.frombuffer(b"".join(r["counts"] for r in got), np.uint16))
+    assert sorted(counts)[-3:] == [2, 2, 200_001] and counts.sum() == 200_002 + 3 + 3
+
+
 def test_url_rules(spark):
     rules = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("org", "/fr/"): "allow"}
     urls = [None, "", "x", "http://NET/", "http://a.net", "http://a.net/x", "https://www.example.net/en/1?x", "https://example.net/de/", "http://example.org/fr/#a", "http://planet/", "http://x.org/fr", "http://x.org:80/fr/"]
