@@ -3,8 +3,12 @@
 Terms are 5-word shingles (a shorter text is one term). Every occurrence of a term adds its weight to the bits that its
 hash sets; a bit of the fingerprint is 1 if the weights of its ones outweigh those of its zeros. Votes are counted 3 to
 a long (lanes of 21 bits), after cutting texts into chunks whose weights fit a lane, so that one text needs 44 sums
-for 128 bits. Search: the fingerprint is cut into radius+1 blocks; each block permuted to the front is a table's
-key; two fingerprints within the radius agree on at least one block.
+for 128 bits. Search: up to a radius of 7, the fingerprint is cut into radius+1 blocks; each block permuted to the
+front is a table's key; two fingerprints within the radius agree on at least one block. Blocks for a larger radius
+are too short to tell fingerprints apart, so there each query is compared with each fingerprint held.
+
+The radius comes from the Jaccard similarity that a search is to find: of texts of equal length that share J of all
+their shingles, the angle's cosine is 2J / (1 + J), and each bit differs with the angle's share of a half turn.
 """
 
 from __future__ import annotations
@@ -69,8 +73,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.cos(distance(a, b) * F.lit(math.pi / 128)))
 
 
+def _compared(queries: DataFrame, held: DataFrame, radius: int) -> DataFrame:
+    (q0, q1), (f0, f1) = halves(F.col("q")), halves(F.col("f"))
+    a = queries.distinct().select("q", q0.alias("q0"), q1.alias("q1"))
+    b = held.distinct().select("f", f0.alias("f0"), f1.alias("f1"))
+    d = F.bit_count(F.col("q0").bitwiseXOR(F.col("f0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("f1")))
+    return b.join(F.broadcast(a), d <= radius).select("q", "f", d.alias("distance"))
+
+
 def within(queries: DataFrame, held: DataFrame, radius: int = 3) -> DataFrame:
     """(q, f, distance) for all pairs of distinct fingerprints (columns q and f) within the radius."""
+    if radius > 7:
+        return _compared(queries, held, radius)
     blocks, size = radius + 1, 32 // (radius + 1)
     table = lambda c: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.substring(c, 1 + k * size, size).alias("block")) for k in range(blocks)]))
     a = queries.select("q", table(F.col("q")).alias("t")).select("q", "t.k", "t.block")
@@ -79,6 +93,17 @@ def within(queries: DataFrame, held: DataFrame, radius: int = 3) -> DataFrame:
     return a.join(b, ["k", "block"]).select("q", "f", d.alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
+def radius_for(similarity: float = 0.75, recall: float = 0.999) -> int:
+    """The least radius within which so large a share of pairs of that Jaccard similarity lies."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    total = 0.0
+    for k in range(129):
+        total += math.comb(128, k) * p**k * (1 - p) ** (128 - k)
+        if total >= recall:
+            return k
+    return 128
+
+
 def _edited(t: DataFrame, groups: int) -> DataFrame:
     """(k, h, doc_id, n, xk, xh, text) of each different (k, h) of t, in the order of descending (k, h): x is the next one's key, text the edited text.
 
@@ -111,13 +136,14 @@ def _edited(t: DataFrame, groups: int) -> DataFrame:
     return chain.select("k", "h", "doc_id", n.alias("n"), "xk", "xh", F.concat(F.substring("text", F.lit(1), n - half), F.substring("xtext", F.lit(1), half)).alias("text"))
 
 
-def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, query_mod: int = 100) -> DataFrame:
-    """One row per different (id, text): (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within).
+def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None, query_mod: int = 100) -> DataFrame:
+    """One row per different (id, text): (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within, within_ids).
 
     Edited text and next document as the order by descending id (ties: by a hash of the text) gives them. Null texts
     are empty, and an empty text's fingerprint is all zeros. Rows that repeat id and text are one document; null ids come last. A
     single document is its own next one. n_within: for ids divisible by query_mod, how many other documents' fingerprints lie within the radius;
-    null for the rest. Extra columns are not read.
+    within_ids: the ids of those documents in order, nulls first; both are null for the rest. The radius is radius_for()
+    unless it is given. Extra columns are not read.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -130,8 +156,13 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     e = edited.select("k", "h", "doc_id", "n", "xk", "xh", F.sha2("text", 256).alias("edited_sha256"))
     nxt = fp.select(F.col("k").alias("xk"), F.col("h").alias("xh"), F.col("fingerprint").alias("next_fp"))
     out = keep(e.join(fp, ["k", "h"]).join(efp, ["k", "h"]).join(nxt, ["xk", "xh"]), "prints")
-    held = keep(out.groupBy("fingerprint").agg(F.count("*").alias("c"), F.max(F.col("doc_id") % query_mod == 0).alias("asked")), "held")
-    near = within(held.where("asked").select(F.col("fingerprint").alias("q")), held.select(F.col("fingerprint").alias("f")), radius)
-    near = keep(near.join(held.select(F.col("fingerprint").alias("f"), "c"), "f").groupBy("q").agg((F.sum("c") - 1).alias("n_within")), "near")
-    out = out.join(near.select(F.col("q").alias("fingerprint"), "n_within"), "fingerprint", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"), F.when(F.col("doc_id") % query_mod == 0, F.col("n_within")).alias("n_within"))
+    member = F.struct("doc_id")  # in a struct, since null ids are members too
+    held = keep(out.groupBy("fingerprint").agg(F.collect_list(member).alias("members"), F.max(F.col("doc_id") % query_mod == 0).alias("asked")), "held")
+    near = keep(within(held.where("asked").select(F.col("fingerprint").alias("q")), held.select(F.col("fingerprint").alias("f")), radius_for() if radius is None else radius), "near")
+    near = near.join(held.select(F.col("fingerprint").alias("f"), "members"), "f").groupBy("q").agg(F.flatten(F.collect_list("members")).alias("all"))
+    near = keep(near.select("q", F.sort_array(F.transform("all", lambda m: m["doc_id"])).alias("all")), "members")
+    out = out.join(near.select(F.col("q").alias("fingerprint"), "all"), "fingerprint", "left")
+    own = F.array_position("all", F.col("doc_id")).cast("int")
+    asked = lambda c: F.when(F.col("doc_id") % query_mod == 0, c)
+    others = F.concat(F.slice("all", F.lit(1), own - 1), F.slice("all", own + 1, F.size("all")))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"), asked(F.size("all").cast("long") - 1).alias("n_within"), asked(others).alias("within_ids"))

@@ -188,6 +188,35 @@ def test_simhash_search(spark):
     assert got == {(a, b) for a in prints for b in prints if (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
 
 
+def test_simhash_search_of_a_large_radius(spark):
+    r = random.Random(2)
+    base = [r.getrandbits(128) for _ in range(20)]
+    prints = sorted({f"{b ^ sum(1 << p for p in r.sample(range(128), k)):032x}" for b in base for k in (0, 10, 20, 30)})
+    df, radius = spark.createDataFrame([(p,) for p in prints], "f string"), simhash.radius_for()
+    got = {(x["q"], x["f"]) for x in simhash.within(df.withColumnRenamed("f", "q"), df, radius).collect()}
+    assert got == {(a, b) for a in prints for b in prints if (int(a, 16) ^ int(b, 16)).bit_count() <= radius}
+
+
+def test_simhash_finds_near_copies(spark):
+    r = random.Random(4)
+    rows, of = [], {}
+    for i in range(8):  # one word in a hundred changed, and a Jaccard similarity of about 0.75
+        w = [f"t{i}w{r.randrange(10**6)}" for _ in range(400)]
+        for k, changed in enumerate((0, 4, 12)):
+            x = list(w)
+            for at in range(changed):
+                x[(at * 400) // max(1, changed)] = f"new{at}"
+            rows.append((100 * i + k, " ".join(x)))
+        of[100 * i] = [100 * i + 1, 100 * i + 2]
+    rows += [(None, rows[0][1] + " "), (7, rows[0][1]), (0, rows[0][1] + "  ")]
+    of[0] = [None, 0, *of[0], 7]
+    got = simhash.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        asked = x["doc_id"] is not None and x["doc_id"] % 100 == 0
+        assert x["within_ids"] == (of[x["doc_id"]] if asked else None) and x["n_within"] == (len(of[x["doc_id"]]) if asked else None)
+
+
 def test_warc(spark):
     rows = [(i, u, h, "x") for i, (u, h) in enumerate([(None, None), ("", ""), ("http://B.example/x?q=1", "a" * 99), ("http://b.example/x?q=1", "a" * 99), ("http://é.example/", "é" * 200), ("nonsense", "é" * 200), ("http://a.example", "b" * 300_000), ("http://a.example", "é" * 200), ("http://a.example\r\nx", "\r\n\r\n" * 40)])]
     rows.append((8, "http://again.example", "z" * 200, "x"))
