@@ -157,6 +157,8 @@ def build_index(records: DataFrame, block_rows: int = 256, max_directory: int =
 
 
 def _run_of(directory_bc):
+    """A request's run: the last block that starts at or before its key."""
+
     def run(batches):
         d = directory_bc.value
         for b in batches:
@@ -166,6 +168,20 @@ def _run_of(directory_bc):
     return run
 
 
+def _runs_of(directory_bc):
+    """A block once for its first key's run and, where that is another one, for its last key's."""
+
+    def run(batches):
+        d = directory_bc.value
+        place = lambda k, s: max(0, bisect.bisect_right(d, (k, s)) - 1)
+        for b in batches:
+            rows = b.to_pydict()
+            out = [(r, blob) for k, s, lk, ls, blob in zip(*(rows[c] for c in ("key", "seq", "last_key", "last_seq", "blob")), strict=True) for r in {place(k, s), place(lk, ls)}]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["run", "blob"])
+
+    return run
+
+
 def _read(folder: str):
     """Of one block and the requests that fall in it: binary search, then range reads."""
 
@@ -212,9 +228,8 @@ def lookup(requests: DataFrame, blocks: DataFrame, directory: list[tuple[str, st
     spark = requests.sparkSession
     bc = spark.sparkContext.broadcast(directory)
     asked = requests.select("key", "seq").distinct().mapInArrow(_run_of(bc), "key string, seq string, run int")
-    # Equal (key, seq) may reach over a border of blocks: such a block is also a part of its forerunner's run.
-    held = blocks.select("key", "seq", "last_key", "last_seq", "blob").mapInArrow(_run_of(bc), "key string, seq string, last_key string, last_seq string, blob binary, run int")
-    held = held.select("run", "blob")
+    # Equal (key, seq) may reach over a border of blocks: the block before it is also a part of the run that requests for it go to.
+    held = blocks.select("key", "seq", "last_key", "last_seq", "blob").mapInArrow(_runs_of(bc), "run int, blob binary")
     found = asked.groupBy("run").cogroup(held.groupBy("run")).applyInPandas(_read(folder), "key string, seq string, page_id long, target string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return found if payloads else found.drop("payload")
 

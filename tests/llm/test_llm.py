@@ -232,6 +232,12 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_repeats_over_borders(spark):
+    rows = [(i, f"http://a.example/{i}", f"page {i}") for i in range(4)] + [(9, "http://b.example/", f"copy {i}") for i in range(11)] + [(None, "http://c.example/", f"none {i}") for i in range(5)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), block_rows=3).collect()
+    assert sorted(r["payload_digest"] for r in got) == sorted(hashlib.sha256(h.encode()).hexdigest() for _, _, h in rows)
+
+
 def test_lm(docs, none):
     rows = fixture_rows()
     token = lambda t: (t or "").encode("utf-8", "surrogatepass").lower().split() + [b"\0end"]
