@@ -19,19 +19,29 @@ from pyspark.sql import functions as F
 
 from shalebed.llm.common import crc_mod, small_batches
 
-WINDOW, STEP, DIM, HIDDEN = 24, 12, 16, 8
+WINDOW, STEP, DIM, HIDDEN, PIECE = 24, 12, 16, 8, 64
 GRAM_BITS = 15
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&~^_-+=/\\|`"
 _P = np.uint32(0x9E3779B1)
 
 
 def words(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+    """Lower-cased words between white space; those of more than PIECE characters as pieces that overlap by half."""
+    found = text.lower().split() if text else []
+    if not any(len(w) > PIECE for w in found):
+        return found
+    return [p for w in found for p in _pieces(w)]
+
+
+def _pieces(word: str) -> list[str]:
+    if len(word) <= PIECE or len(word.strip(_STRIP) or word) <= PIECE:
+        return [word]
+    return [word[s : s + PIECE] for s in range(0, len(word) - PIECE // 2, PIECE // 2)]
 
 
 def gram_places(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(places, offsets): hashed character 3-, 4- and 5-grams of each word with its ends marked, word after word."""
-    raw = [("\x02" + s[:64] + "\x03").encode("utf-32-le", "surrogatepass") for s in strings]  # longer words: their first 64 characters
+    raw = [("\x02" + s + "\x03").encode("utf-32-le", "surrogatepass") for s in strings]
     sizes = np.array([len(r) // 4 for r in raw], np.int64)
     c = np.frombuffer(b"".join(raw), np.uint32)
     word = np.repeat(np.arange(len(raw)), sizes)

@@ -158,6 +158,17 @@ def test_windows_cover():
         assert {i for s, m in zip(start, length, strict=True) for i in range(s, s + m)} == set(range(n))
 
 
+def test_toxicity_reads_long_words():
+    for n in (1, 64, 65, 96, 97, 500):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        got = toxicity.words(word)
+        assert all(any(word[i : i + 5] in p for p in got) for i in range(n)) and max(map(len, got)) <= 64
+    assert toxicity.words("A " + "=" * 70 + "b" + "=" * 70) == ["a", "=" * 70 + "b" + "=" * 70]
+    scorer, start = toxicity.Scorer(toxicity.Net({})), "好" * 200
+    a, b = scorer.logits([toxicity.words(start + "天" * 50), toxicity.words(start + "坏" * 50)])[0]
+    assert a != b
+
+
 def test_mixing(docs, labels, none):
     got = mixing.mixing_rates(docs, labels).collect()
     assert len(got) == len(fixture_rows())
