@@ -24,7 +24,7 @@ def squote(s: Column) -> Column:
 
 
 def b64enc(s: Column) -> Column:
-    return F.base64(s.cast("binary"))
+    return F.replace(F.base64(s.cast("binary")), F.lit("\r\n"), F.lit(""))  # Spark breaks lines after 76 characters
 
 
 def b64dec(s: Column) -> Column:

@@ -286,6 +286,12 @@ def checksums(spark, d):
     return t(spark, d, "documents").select("doc_id", T.sha1sum(F.col("text")).alias("s1"), T.sha256sum(F.col("text")).alias("s256"), T.b64enc(short).alias("enc"), T.b64dec(T.b64enc(short)).alias("back"))
 
 
+@query("SELECT doc_id, base64(encode(text)) AS enc, text AS back FROM documents")
+def base64_whole(spark, d):
+    text = F.col("text")
+    return t(spark, d, "documents").select("doc_id", T.b64enc(text).alias("enc"), T.b64dec(T.b64enc(text)).alias("back"))
+
+
 @query()
 def adler32(spark, d):
     return t(spark, d, "documents").select("doc_id", T.adler32sum(F.col("text")).alias("a32"))
