@@ -311,6 +311,15 @@ def list_ops(spark, d):
     return a.select("vec_id", C.first(e).alias("first_of"), C.last(e).alias("last_of"), big(C.initial(e)).alias("n_initial"), big(C.rest(e)).alias("n_rest"), big(C.uniq(e)).alias("n_uniq"), C.first(C.slice_of(e, 1, 3)).alias("second_of"), big(C.concat(e, e)).alias("n_both"), F.array_contains(e, F.get(e, F.lit(2))).alias("has_third"), C.first(F.reverse(e)).alias("reversed_first"), big(C.compact(e, "float")).alias("n_compact"))
 
 
+@query("""WITH a AS (SELECT vec_id, embedding AS e FROM embeddings) SELECT vec_id, e[1] AS first_of, e[-1] AS last_of, len(e[1:len(e) - 1]) AS n_initial, len(e[2:]) AS n_rest, len(list_distinct(e)) AS n_uniq, e[2:3][1] AS second_of,
+len(list_concat(e, e)) AS n_both, list_contains(e, e[3]) AS has_third, list_reverse(e)[1] AS reversed_first, len(list_filter(e, lambda x: x <> 0)) AS n_compact FROM a""")
+def list_ops_whole(spark, d):
+    e = F.col("e")
+    a = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e"))
+    big = lambda c: F.size(c).cast("bigint")
+    return a.select("vec_id", C.first(e).alias("first_of"), C.last(e).alias("last_of"), big(C.initial(e)).alias("n_initial"), big(C.rest(e)).alias("n_rest"), big(C.uniq(e)).alias("n_uniq"), C.first(C.slice_of(e, 1, 3)).alias("second_of"), big(C.concat(e, e)).alias("n_both"), F.array_contains(e, F.get(e, F.lit(2))).alias("has_third"), C.first(F.reverse(e)).alias("reversed_first"), big(C.compact(e, "float")).alias("n_compact"))
+
+
 @query("""SELECT event_id, CAST(coalesce(json_extract_string(props, '$.k'), '') AS VARCHAR) AS got, '' AS missing, len(json_keys(props)) AS n_keys, list_contains(json_keys(props), 'k') AS has_k FROM events""")
 def map_ops(spark, d):
     m = F.from_json("props", "map<string,string>")
