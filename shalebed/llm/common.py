@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -13,13 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_held: dict[int, list[str]] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode alone (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shalebed-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -38,7 +42,43 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    _held.setdefault(id(spark), []).append(path)
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that keep() wrote, once nothing reads it any more; other tables are left alone."""
+    path = getattr(df, "kept_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _held.get(id(spark), []):
+        _held[id(spark)].remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, *spared: DataFrame):
+    """Deletes the tables that keep() writes inside, at the end; what must outlive it is written after it, or spared."""
+    held = _held.setdefault(id(spark), [])
+    before = set(held)
+    yield
+    for path in [p for p in held if p not in before and p not in {getattr(s, "kept_path", None) for s in spared}]:
+        _delete(spark, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -99,8 +139,8 @@ def pack(counts: np.ndarray) -> bytes:
     return zlib.compress(counts.tobytes(), 1)
 
 
-def sum_arrays(df: DataFrame, dtype: str, salts: int = 16) -> DataFrame:
-    """Rows (slot int, blob binary: compressed arrays of equal shape) added up, slot by slot, in two rounds."""
+def sum_arrays(df: DataFrame, dtype: str, salts: tuple[int, ...] = (1024, 32)) -> DataFrame:
+    """Rows (slot int, blob binary: compressed arrays of equal shape) added up, slot by slot, as a tree: a group holds few blobs in each round."""
 
     def add(pdf):
         import pandas as pd
@@ -114,5 +154,6 @@ def sum_arrays(df: DataFrame, dtype: str, salts: int = 16) -> DataFrame:
         return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "blob": [pack(total.astype(dtype))]})
 
     schema = "slot int, blob binary"
-    first = df.withColumn("salt", F.pmod(F.xxhash64("blob"), F.lit(salts))).groupBy("slot", "salt").applyInPandas(add, schema)
-    return first.groupBy("slot").applyInPandas(add, schema)
+    for n in salts:
+        df = df.withColumn("salt", F.pmod(F.xxhash64("blob"), F.lit(n))).groupBy("slot", "salt").applyInPandas(add, schema)
+    return df.groupBy("slot").applyInPandas(add, schema)

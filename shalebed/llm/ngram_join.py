@@ -2,10 +2,12 @@
 
 Method: token-combination prefixes. Shingles get one global order, rare classes first. A set of n shingles
 that must share t of them with a partner shares its smallest common shingle within its first n-t+1; a rare
-one is indexed alone. If the smallest common shingle is frequent, so is the next common one, which lies in the
-prefix extended by one: sets of at most COMBO shingles index pairs of frequent shingles, larger sets index
-frequent shingles alone (sets near the border do both, so that no pair falls between). Candidates are verified
-on whole sets.
+one is indexed alone. If no rare shingle is shared, all shared ones are frequent. Two sets with e unshared shingles
+between them, put in order, have more than e gaps between the shared ones, so in some gap neither set has anything:
+two shared shingles are neighbours in both. With the prefix extended to twice the unshared shingles a set may have,
+that pair lies in it, so sets of every size index the pairs of neighbours among their frequent shingles: about n/2
+keys. (Below 67 percent there may be too few gaps; there frequent shingles are indexed alone.) Candidates are
+verified on whole sets.
 
 Links are wanted as components, so no group is expanded into all its pairs: equal sets are one class; each index
 key first proposes a star; what stars leave in different components is proposed after that, exactly.
@@ -26,17 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalebed.llm.common import WordHashes, as_i64, batch, keep, mix, new_path, pack, small_batches, sum_arrays, words_of
+from shalebed.llm.common import WordHashes, as_i64, batch, drop, keep, mix, small_batches, sum_arrays, words_of
 
 WIDTH = 5
 CLASS_BITS = 20
 SLICES = 16
-COMBO, COMBO_UP = 96, 128  # COMBO / 0.75 = COMBO_UP: the largest partner of a set of COMBO shingles
+KEY_ROWS = 256  # members of a key in one task, about
+LEAST_FOR_PAIRS = 67  # percent, from which e unshared shingles come with at least e + 2 shared ones
 PAIRS_UP_TO = 32
 BLOCK = 1024
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("sig2", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
-_SETS_DDL = "doc_id long, n int, sig long, sig2 long, sketch binary, shingles binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("sig2", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
+_SETS_DDL = "doc_id long, text_hash long, n int, sig long, sig2 long, sketch binary, shingles binary"
+MOST_CLASHING = 10_000
 SKETCH_BITS = 8  # a shingle, at least; a power of two in all
 
 
@@ -68,7 +72,15 @@ def most_shared(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> int:
     return min(n_x - int(np.bitwise_count(x & ~y).sum()), n_y - int(np.bitwise_count(y & ~x).sum()))
 
 
-def _sets(width: int, with_counts: bool):
+def signature(blob: bytes, clashing: frozenset[int] = frozenset(), bits: int = 64) -> tuple[int, int]:
+    """(sig, sig2): a set's name and another digest of it. Names that two sets would share give way to both digests at once."""
+    digest = xxhash.xxh3_128_digest(blob)
+    sig, sig2 = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+    sig &= (1 << bits) - 1 if bits < 64 else -1
+    return (sig ^ sig2 if sig in clashing else sig), sig2
+
+
+def _sets(width: int, with_counts: bool, clashing: frozenset[int] = frozenset(), bits: int = 64):
     """A row per text; with_counts: no shingles, but the counts of the classes at the end."""
 
     def run(batches):
@@ -76,19 +88,18 @@ def _sets(width: int, with_counts: bool):
         counts, held, n_held = np.zeros(1 << CLASS_BITS, np.int64), [], 0
         for b in batches:
             out = {f.name: [] for f in _SETS}
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc_id, text, text_hash in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 h = shingle_hashes(words.of(words_of(text.as_py())), width)
                 sig = sig2 = blob = sketch = None
                 if len(h):
                     blob = h.tobytes()
                     sketch = None if with_counts else sketch_of(h)
-                    digest = xxhash.xxh3_128_digest(blob)
-                    sig, sig2 = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+                    sig, sig2 = signature(blob, clashing, bits)
                 if len(h) and with_counts:
                     blob = None
                     held.append((h >> np.uint64(64 - CLASS_BITS)).astype(np.int32))
                     n_held += len(h)
-                for k, v in (("doc_id", doc_id), ("n", len(h)), ("sig", sig), ("sig2", sig2), ("sketch", sketch), ("shingles", blob)):
+                for k, v in (("doc_id", doc_id), ("text_hash", text_hash), ("n", len(h)), ("sig", sig), ("sig2", sig2), ("sketch", sketch), ("shingles", blob)):
                     out[k].append(v)
             if n_held > 2_000_000:
                 counts += np.bincount(np.concatenate(held), minlength=1 << CLASS_BITS)
@@ -99,7 +110,7 @@ def _sets(width: int, with_counts: bool):
         if held:
             counts += np.bincount(np.concatenate(held), minlength=1 << CLASS_BITS)
         parts = np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)
-        yield batch(_SETS, doc_id=[None] * SLICES, n=[-1 - k for k in range(SLICES)], sig=[None] * SLICES, sig2=[None] * SLICES, sketch=[None] * SLICES, shingles=[zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in parts])
+        yield batch(_SETS, doc_id=[None] * SLICES, text_hash=[None] * SLICES, n=[-1 - k for k in range(SLICES)], sig=[None] * SLICES, sig2=[None] * SLICES, sketch=[None] * SLICES, shingles=[zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in parts])
 
     return run
 
@@ -116,27 +127,31 @@ def prefix_keys(h: np.ndarray, classes: np.ndarray, percent: int) -> tuple[tuple
     first = n - -(-percent * n // 100) + 1
     cls = classes[(h >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
     common = np.flatnonzero(cls)
-    if not len(common):
-        return (h[:first], np.arange(first)), (h[:0], np.arange(0))
-    keys = h[cls == 0][:first]
-    single = keys, np.arange(len(keys))
-    left = first - len(keys)
-    if left <= 0:
-        return single, (h[:0], np.arange(0))
+    keys = h[cls == 0]
+    single = keys[:first], np.arange(min(first, len(keys)))
     f = h[common]
     f = f[np.lexsort((f, cls[common]))]
     place = len(keys) + np.arange(len(f))
-    hot = []
-    if n > COMBO or first >= n:
-        hot.append((f[:left], place[:left]))
-    if n <= COMBO_UP and first < n:
-        f = f[: left + 1]
-        i, j = np.triu_indices(len(f), 1)
-        hot.append((mix(f[i] * _MULT[0] + f[j] * _MULT[1] + np.uint64(1)), place[i]))
-    return single, (np.concatenate([x[0] for x in hot]), np.concatenate([x[1] for x in hot]))
+    if percent < LEAST_FOR_PAIRS:
+        left = max(0, first - len(keys))
+        return single, (f[:left], place[:left])
+    # at most (100 - percent) n / 100 shingles are unshared, and if no rare one is shared, all rare ones are among them
+    reach = max(0, -(-2 * (100 - percent) * n // 100) - 2 * len(keys)) + 2
+    if 100 * len(keys) > (100 - percent) * n:
+        reach = 0
+    f, place = f[:reach], place[:reach]
+    return single, (mix(f[:-1] * _MULT[0] + f[1:] * _MULT[1] + np.uint64(1)), place[:-1])
+
 
+def most_common(n: int, left: int, m: int, left2: int) -> int:
+    """The most shingles that two sets can share whose first neighbours in both have left and left2 shingles from there on.
+
+    Each shared shingle before has a gap after it that an unshared one fills, so shared ones are a third of what comes before at most.
+    """
+    return min(n, m, (n - left + m - left2) // 3 + min(left, left2))
 
-def _index(classes_bc, percent: int, bits: int, width: int):
+
+def _index(classes_bc, percent: int, bits: int, width: int, clashing: frozenset[int], sig_bits: int):
     def run(batches):
         classes = np.frombuffer(zlib.decompress(classes_bc.value), np.uint8)
         words, seen, buffered, rows = WordHashes(), set(), [], 0
@@ -161,7 +176,7 @@ def _index(classes_bc, percent: int, bits: int, width: int):
                 h = shingle_hashes(words.of(words_of(text.as_py())), width)
                 if len(h) < 2:
                     continue
-                sig = int.from_bytes(xxhash.xxh3_128_digest(h.tobytes())[:8], "little", signed=True)
+                sig, _ = signature(h.tobytes(), clashing, sig_bits)
                 if sig in seen:
                     continue
                 if len(seen) < 500_000:
@@ -263,39 +278,48 @@ def _overlaps(percent: int):
 
 
 def components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node that edges (a, b) reach. Large-star and small-star rounds, each written to the shared folder."""
+    """(node, label): the smallest node that edges (a, b) reach. Large-star and small-star rounds, each written to the shared folder.
+
+    Rounds grow with the logarithm of the nodes; an error is raised if `rounds` of them don't end it.
+    """
     e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    for _ in range(rounds):
+    for left in range(rounds, -1, -1):
         # done when the edges are stars: each u has one v, and no v is a u
         roles = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if not roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").take(1):
             break
+        if not left:
+            raise RuntimeError(f"components are not connected after {rounds} rounds")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
-        e = keep(small, name)
+        before, e = e, keep(small, name)
+        drop(before)
     return e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = WIDTH, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """One row per row of docs: (id_col, n_shingles, component_id, class_sig).
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = WIDTH, broadcast_rows: int = 2_000_000, sig_bits: int = 64) -> DataFrame:
+    """One row per row of docs: (id_col, n_shingles, component_id, class_sig, label, text_hash).
 
     Null or blank texts have no shingles and link with nothing; null ids are allowed (they are never a component's
-    id unless it holds no other). Repeated rows are equal sets. Extra columns of docs are not read.
+    id unless it holds no other). Repeated rows are equal sets. Extra columns of docs are not read. class_sig names
+    the set, label the component (both null without shingles); id and text_hash together tell rows apart whose ids repeat.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    path = new_path(spark, "shingles")
-    src.mapInArrow(_sets(width, True), _SETS_DDL).write.parquet(path)
-    sets = spark.read.parquet(path)
-    rows = sets.where("n >= 0").select("doc_id", "n", "sig", "sig2")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    sets = keep(src.mapInArrow(_sets(width, True, bits=sig_bits), _SETS_DDL), "shingles")
+    rows = sets.where("n >= 0").select("doc_id", "text_hash", "n", "sig", "sig2")
     stats = rows.agg(F.sum(F.col("n").cast("long")).alias("n")).first()
-    clash = rows.where("sig is not null").groupBy("sig").agg((F.min("sig2") != F.max("sig2")).alias("x")).where("x").limit(1).count()
-    if clash:
-        raise ValueError("two different shingle sets have one 64-bit signature; change the width of the signature")
+    # n sets have about n * n / 2 ** 65 such names: a handful for any table that can be stored
+    clashing = rows.where("sig is not null").groupBy("sig").agg(F.min("sig2").alias("x"), F.max("sig2").alias("y")).where("x <> y").select("sig").limit(MOST_CLASHING + 1).collect()
+    if len(clashing) > MOST_CLASHING:
+        raise ValueError(f"more than {MOST_CLASHING} names of shingle sets clash")
+    clashing = frozenset(r["sig"] for r in clashing)
+    if clashing:
+        rows = rows.withColumn("sig", F.when(F.col("sig").isin(*clashing), F.col("sig").bitwiseXOR(F.col("sig2"))).otherwise(F.col("sig")))
     totals = sum_arrays(sets.where("n < 0").select((-1 - F.col("n")).alias("slot"), F.col("shingles").alias("blob")), "uint32").collect()
     counts = np.zeros((SLICES, (1 << CLASS_BITS) // SLICES), np.int64)
     for r in totals:
@@ -307,7 +331,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bc = spark.sparkContext.broadcast(zlib.compress(classes.tobytes(), 1))  # 2 ** CLASS_BITS bytes at most, whatever the input
     expected = int((stats["n"] or 0) * (100 - percent) / 100) + 1
     bits = max(6, math.ceil(math.log2(max(1, expected / 1_000_000))))
-    index = src.select("text").mapInArrow(_index(bc, percent, bits, width), "pid int, tok binary, sig binary, n binary, left binary")
+    index = src.select("text").mapInArrow(_index(bc, percent, bits, width, clashing, sig_bits), "pid int, tok binary, sig binary, n binary, left binary")
     found = keep(index.groupBy("pid").applyInPandas(_propose(percent), _FOUND), "candidates")
     del index
     gc.collect()
@@ -338,8 +362,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for known in pool:
             new = new.join(known.select("sig"), "sig", "left_anti")
         new = keep(new.join(holder, "sig"), "new")
-        again = src.withColumn("id", F.coalesce("doc_id", low)).join(small(new.select("id").distinct()), "id", "left_semi").select("doc_id", "text")
-        again = again.mapInArrow(_sets(width, False), _SETS_DDL).select("sig", F.coalesce("doc_id", low).alias("id"), "n", "sketch", "shingles")
+        again = src.withColumn("id", F.coalesce("doc_id", low)).join(small(new.select("id").distinct()), "id", "left_semi").select("doc_id", "text", "text_hash")
+        again = again.mapInArrow(_sets(width, False, clashing, sig_bits), _SETS_DDL).select("sig", F.coalesce("doc_id", low).alias("id"), "n", "sketch", "shingles")
         pool.append(keep(again.join(small(new), ["sig", "id"], "left_semi").select("sig", "n", "sketch", "shingles").dropDuplicates(["sig"]), "held"))
         maybe = keep(with_sides(p, need, small, n="n", sketch="k").mapInArrow(_may_link(percent), "a long, b long"), "maybe")
         return keep(with_sides(maybe, *needed(maybe), shingles="s").mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
@@ -351,14 +375,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         spark.sparkContext._jvm.System.gc()  # lets Spark drop the sets' shuffle files
         return out
 
-    fits = f"(least(rest, rest2) * {100 + percent} >= {percent} * (n + m) or n = 65535 or m = 65535)"
+    fits = f"(least(n, m, (n - rest + m - rest2) div 3 + least(rest, rest2)) * {100 + percent} >= {percent} * (n + m) or n = 65535 or m = 65535)"  # see most_common
     hot = keep(found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("sig"), "n", "rest").distinct(), "hot")
     any_hot = bool(hot.take(1))
+    largest = hot.groupBy("key").count().agg(F.max("count").alias("c")).first()["c"] or 0
+    salts = max(1, min(64, -(-largest // KEY_ROWS)))
+
+    def with_key(members: DataFrame, per_key: DataFrame, how: str = "inner") -> DataFrame:
+        """members with what belongs to their keys; a key's members are dealt over salts, so that a hot key is no one task's work."""
+        m = members.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(salts)))
+        return m.join(per_key.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))), ["key", "salt"], how).drop("salt")
 
     def star(members: DataFrame, salt: int) -> DataFrame:
         """Each key's member with the fewest rarer shingles before the key (the least edited copy), with every other member."""
         centre = keep(members.groupBy("key").agg(F.min_by(F.struct("sig", "n", "rest", *[c for c in ("label",) if c in members.columns]), F.struct(-F.col("rest") / F.col("n"), F.xxhash64("sig", F.lit(salt)))).alias("c")), "centres")
-        j = members.join(centre, "key").select("*", F.col("c.n").alias("m"), F.col("c.rest").alias("rest2")).where(fits)
+        j = with_key(members, centre).select("*", F.col("c.n").alias("m"), F.col("c.rest").alias("rest2")).where(fits)
         if "label" in members.columns:
             j = j.where("label <> c.label")
         return j.select(F.col("c.sig").alias("a"), F.col("sig").alias("b")).where("a <> b")
@@ -383,14 +414,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """Rows of those frequent keys whose members are still in more than one component."""
         marked = labelled(hot, "sig", "label")
         mixed = keep(marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
-        return keep(marked.join(mixed, "key", "left_semi"), "members")
+        return keep(with_key(marked, mixed), "members")
 
     def all_apart(members: DataFrame) -> DataFrame:
         """Pairs of members of a key in different components, as far as place and size leave a link possible; large groups are split into blocks."""
-        least_n = members.groupBy("key").agg(F.min("n").alias("least_n"))
-        left = keep(members.join(least_n, "key").where(f"rest * {100 + percent} >= {percent} * (n + least_n) or n = 65535").drop("least_n"), "possible")
+        ends = keep(members.groupBy("key").agg(F.min("n").alias("least_n"), F.max(F.col("n") - F.col("rest")).alias("most_before")), "ends")
+        left = with_key(members, ends).where(f"least(n, rest + (n - rest + most_before) div 3) * {100 + percent} >= {percent} * (n + least_n) or n = 65535").drop("least_n", "most_before")
+        left = keep(left, "possible")
         sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "blocks")
-        left = left.join(sizes, "key")
+        left = with_key(left, sizes)
         other = left.select("key", F.col("sig").alias("s2"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("label").alias("l2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         return left.withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int")).join(other, ["key", "block"]).where("sig < s2 and label <> l2").where(fits).select(F.col("sig").alias("a"), F.col("s2").alias("b"))
 
@@ -400,9 +432,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lab = joined(verified(rest))
     if any_hot:
         lab = joined(verified(all_apart(members_apart())))
-    full = labelled(rows.where("sig is not null").select("doc_id", "n", "sig"), "sig", "comp")
+    full = labelled(rows.where("sig is not null").select("doc_id", "text_hash", "n", "sig"), "sig", "comp")
     full = keep(full, "classes")
     least = keep(full.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
-    out = full.join(least, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("sig").alias("class_sig"))
-    empty = rows.where("sig is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_sig"))
+    out = full.join(least, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("sig").alias("class_sig"), F.col("comp").alias("label"), "text_hash")
+    empty = rows.where("sig is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_sig"), F.lit(None).cast("long").alias("label"), "text_hash")
     return out.unionByName(empty).withColumnRenamed("doc_id", id_col)

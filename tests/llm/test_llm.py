@@ -96,6 +96,29 @@ def test_prefix_keys_lose_no_pair():
         assert set(ka[0][0]) & set(kb[0][0]) or set(ka[1][0]) & set(kb[1][0])
 
 
+def test_neighbour_pairs_of_long_sets_pass_the_bound():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(r.integers(3, 1500))
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = a[r.random(len(a)) > r.random() * 0.2]
+        b = np.unique(np.r_[b, r.integers(0, 2**63, int(r.integers(0, n // 8 + 1)), dtype=np.uint64)])
+
+        common = len(np.intersect1d(a, b))
+        if a.tobytes() == b.tobytes() or 100 * common < 75 * (len(a) + len(b) - common):
+            continue
+        classes = r.integers(1, 4, 1 << ngram_join.CLASS_BITS).astype(np.uint8)  # every shingle is frequent
+        (_, (ka, pa_)), (_, (kb, pb)) = ngram_join.prefix_keys(a, classes, 75), ngram_join.prefix_keys(b, classes, 75)
+        assert len(ka) <= n // 2 + 2
+        pb = dict(zip(kb, pb, strict=True))
+        assert any(ngram_join.most_common(len(a), len(a) - x, len(b), len(b) - pb[k]) >= common for k, x in zip(ka, pa_, strict=True) if k in pb)
+
+
+def test_jaccard_components_when_names_clash(docs):
+    key = lambda r: str((r["doc_id"], r["n_shingles"], r["component_id"]))
+    assert sorted(map(key, ngram_join.jaccard_components(docs, sig_bits=5).collect())) == sorted(map(key, ngram_join.jaccard_components(docs).collect()))
+
+
 def test_exact_groups(docs, none):
     rows = fixture_rows()
     groups = {}
