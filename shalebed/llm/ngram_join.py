@@ -115,13 +115,16 @@ def _sets(width: int, with_counts: bool, clashing: frozenset[int] = frozenset(),
     return run
 
 
-_KEYS = pa.schema([("pid", pa.int32()), ("tok", pa.binary()), ("sig", pa.binary()), ("n", pa.binary()), ("left", pa.binary())])
+_KEYS = pa.schema([("pid", pa.int32()), ("tok", pa.binary()), ("sig", pa.binary()), ("n", pa.binary()), ("left", pa.binary()), ("rare", pa.binary()), ("prev", pa.binary())])
+_KEYS_DDL = "pid int, tok binary, sig binary, n binary, left binary, rare binary, prev binary"
 
 
-def prefix_keys(h: np.ndarray, classes: np.ndarray, percent: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(keys, places) of a set of sorted shingle hashes, for rare shingles and for frequent ones or pairs of them.
+def prefix_keys(h: np.ndarray, classes: np.ndarray, percent: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, places) of a set of sorted shingle hashes for rare shingles, and (keys, places, shingles before) for pairs of frequent ones.
 
-    A place is the (first) shingle's rank in the set: what comes before it is not shared if it is the smallest common one.
+    A place is the (first) shingle's rank in the set: what comes before it is not shared if it is the smallest common
+    one. Two sets that share the shingle before a pair as well share the pair before this one too, so a run of shared
+    neighbours counts where it begins. Before a set's first frequent shingle there is a 0.
     """
     n = len(h)
     first = n - -(-percent * n // 100) + 1
@@ -134,21 +137,21 @@ def prefix_keys(h: np.ndarray, classes: np.ndarray, percent: int) -> tuple[tuple
     place = len(keys) + np.arange(len(f))
     if percent < LEAST_FOR_PAIRS:
         left = max(0, first - len(keys))
-        return single, (f[:left], place[:left])
+        return single, (f[:left], place[:left], mix(f[:left] ^ h[0]))
     # at most (100 - percent) n / 100 shingles are unshared, and if no rare one is shared, all rare ones are among them
     reach = max(0, -(-2 * (100 - percent) * n // 100) - 2 * len(keys)) + 2
     if 100 * len(keys) > (100 - percent) * n:
         reach = 0
     f, place = f[:reach], place[:reach]
-    return single, (mix(f[:-1] * _MULT[0] + f[1:] * _MULT[1] + np.uint64(1)), place[:-1])
+    return single, (mix(f[:-1] * _MULT[0] + f[1:] * _MULT[1] + np.uint64(1)), place[:-1], np.r_[np.zeros(min(1, len(f)), np.uint64), f[:-1]][: max(0, len(f) - 1)])
 
 
-def most_common(n: int, left: int, m: int, left2: int) -> int:
-    """The most shingles that two sets can share whose first neighbours in both have left and left2 shingles from there on.
+def most_common(n: int, left: int, rare: int, m: int, left2: int, rare2: int) -> int:
+    """The most shingles that two sets can share that share no rare one and whose first neighbours in both have left and left2 shingles from there on.
 
-    Each shared shingle before has a gap after it that an unshared one fills, so shared ones are a third of what comes before at most.
+    Each shared shingle before has a gap after it that an unshared one fills, so shared ones are a third of the frequent ones before at most.
     """
-    return min(n, m, (n - left + m - left2) // 3 + min(left, left2))
+    return min(n - rare, m - rare2, (n - left - rare + m - left2 - rare2) // 3 + min(left, left2))
 
 
 def _index(classes_bc, percent: int, bits: int, width: int, clashing: frozenset[int], sig_bits: int):
@@ -159,17 +162,19 @@ def _index(classes_bc, percent: int, bits: int, width: int, clashing: frozenset[
         def flush():
             if not buffered:
                 return
-            tok, hot = np.concatenate([x[0] for x in buffered]), np.concatenate([np.full(len(x[0]), x[3]) for x in buffered])
+            sizes = [len(x[0]) for x in buffered]
+            tok, hot = np.concatenate([x[0] for x in buffered]), np.repeat([x[3] for x in buffered], sizes)
             left = np.concatenate([np.maximum(x[2] - x[4], 0).astype(np.uint16) for x in buffered])
-            sig, n = np.concatenate([np.full(len(x[0]), x[1], np.int64) for x in buffered]), np.concatenate([np.full(len(x[0]), x[2], np.uint16) for x in buffered])
+            sig, n, rare = (np.repeat(np.array([x[i] for x in buffered], t), sizes) for i, t in ((1, np.int64), (2, np.uint16), (6, np.uint16)))
+            prev = np.concatenate([x[5] for x in buffered])
             pid = (mix(tok ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)).astype(np.int32)
             pid[hot] = -1 - (mix(sig[hot].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(pid, kind="stable")
-            pid, tok, sig, n, left = pid[order], tok[order], sig[order], n[order], left[order]
+            pid, tok, sig, n, left, rare, prev = (x[order] for x in (pid, tok, sig, n, left, rare, prev))
             cuts = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
             ends = np.r_[cuts[1:], len(pid)]
             spans = list(zip(cuts, ends, strict=True))
-            yield batch(_KEYS, pid=pid[cuts], tok=[tok[a:b].tobytes() for a, b in spans], sig=[sig[a:b].tobytes() for a, b in spans], n=[n[a:b].tobytes() for a, b in spans], left=[left[a:b].tobytes() for a, b in spans])
+            yield batch(_KEYS, pid=pid[cuts], prev=[prev[a:b].tobytes() if pid[a] < 0 else b"" for a, b in spans], **{k: [x[a:b].tobytes() for a, b in spans] for k, x in (("tok", tok), ("sig", sig), ("n", n), ("left", left), ("rare", rare))})
 
         for b in batches:
             for text in b.column(0):
@@ -181,11 +186,12 @@ def _index(classes_bc, percent: int, bits: int, width: int, clashing: frozenset[
                     continue
                 if len(seen) < 500_000:
                     seen.add(sig)
-                rare, hot = prefix_keys(h, classes, percent)
-                for (keys, places), is_hot in ((rare, False), (hot, True)):
-                    if len(keys):
-                        buffered.append((keys, sig, min(len(h), 65535), is_hot, places))
-                        rows += len(keys)
+                (keys, places), (pairs, starts, before) = prefix_keys(h, classes, percent)
+                n_rare = min(65535, int((classes[(h >> np.uint64(64 - CLASS_BITS)).astype(np.int64)] == 0).sum()))
+                for k, p, q, is_hot in ((keys, places, np.zeros(len(keys), np.uint64), False), (pairs, starts, before, True)):
+                    if len(k):
+                        buffered.append((k, sig, min(len(h), 65535), is_hot, p, q, n_rare))
+                        rows += len(k)
             if rows >= 1_500_000:
                 yield from flush()
                 buffered, rows = [], 0
@@ -194,7 +200,7 @@ def _index(classes_bc, percent: int, bits: int, width: int, clashing: frozenset[
     return run
 
 
-_FOUND = "kind int, a long, b long, n int, rest int"
+_FOUND = "kind int, a long, b long, n int, rest int, rare int, prev long"
 
 
 def _propose(percent: int):
@@ -206,14 +212,19 @@ def _propose(percent: int):
         tok = np.frombuffer(b"".join(pdf["tok"]), np.uint64)
         sig = np.frombuffer(b"".join(pdf["sig"]), np.int64)
         n = np.frombuffer(b"".join(pdf["n"]), np.uint16).astype(np.int32)
-        left = np.frombuffer(b"".join(pdf["left"]), np.uint16).astype(np.int32)
+        left, rare = (np.frombuffer(b"".join(pdf[c]), np.uint16).astype(np.int32) for c in ("left", "rare"))
+        is_hot = int(pdf["pid"].iloc[0]) < 0
+        if is_hot:
+            prev = np.frombuffer(b"".join(pdf["prev"]), np.int64)
+        else:  # the rows of a rare shingle have nothing before it in common
+            prev, rare = as_i64(mix(tok ^ sig.view(np.uint64))), n - left
         order = np.lexsort((sig, tok))
-        tok, sig, n, left = tok[order], sig[order], n[order], left[order]
+        tok, sig, n, left, rare, prev = (x[order] for x in (tok, sig, n, left, rare, prev))
         new = np.r_[True, (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])]
-        tok, sig, n, left = tok[new], sig[new], n[new], left[new]
+        tok, sig, n, left, rare, prev = (x[new] for x in (tok, sig, n, left, rare, prev))
         out = []
-        if int(pdf["pid"].iloc[0]) < 0:
-            out.append((2, as_i64(tok), sig, n, left))
+        if is_hot:
+            out.append((2, as_i64(tok), sig, n, left, rare, prev))
         else:
             cuts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
             sizes = np.diff(np.r_[cuts, len(tok)])
@@ -224,7 +235,7 @@ def _propose(percent: int):
                 a, b = a[fits], b[fits]
                 if len(a):
                     _, first = np.unique(mix(a.view(np.uint64)) ^ b.view(np.uint64), return_index=True)
-                    out.append((kind, a[first], b[first], a[first] * 0, a[first] * 0))
+                    out.append((kind, a[first], b[first], *[a[first] * 0] * 4))
 
             large = sizes >= 2
             starts, lengths = cuts[large], sizes[large]
@@ -238,8 +249,8 @@ def _propose(percent: int):
                     s = starts[lengths == m][:, None] + 1
                     pairs(1, (s + i).ravel(), (s + j).ravel())
                 for s, m in zip(starts[lengths > PAIRS_UP_TO], lengths[lengths > PAIRS_UP_TO], strict=True):
-                    out.append((2, np.full(m, as_i64(tok[s : s + 1])[0]), sig[s : s + m], n[s : s + m], left[s : s + m]))
-        return pd.DataFrame({k: np.concatenate([np.full(len(x[1]), x[0], np.int32) if c == 0 else x[c] for x in out]) if out else np.array([], np.int64) for c, k in enumerate(("kind", "a", "b", "n", "rest"))})
+                    out.append((2, np.full(m, as_i64(tok[s : s + 1])[0]), *(x[s : s + m] for x in (sig, n, left, rare, prev))))
+        return pd.DataFrame({k: np.concatenate([np.full(len(x[1]), x[0], np.int32) if c == 0 else x[c] for x in out]) if out else np.array([], np.int64) for c, k in enumerate(("kind", "a", "b", "n", "rest", "rare", "prev"))})
 
     return run
 
@@ -331,7 +342,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bc = spark.sparkContext.broadcast(zlib.compress(classes.tobytes(), 1))  # 2 ** CLASS_BITS bytes at most, whatever the input
     expected = int((stats["n"] or 0) * (100 - percent) / 100) + 1
     bits = max(6, math.ceil(math.log2(max(1, expected / 1_000_000))))
-    index = src.select("text").mapInArrow(_index(bc, percent, bits, width, clashing, sig_bits), "pid int, tok binary, sig binary, n binary, left binary")
+    index = src.select("text").mapInArrow(_index(bc, percent, bits, width, clashing, sig_bits), _KEYS_DDL)
     found = keep(index.groupBy("pid").applyInPandas(_propose(percent), _FOUND), "candidates")
     del index
     gc.collect()
@@ -375,8 +386,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         spark.sparkContext._jvm.System.gc()  # lets Spark drop the sets' shuffle files
         return out
 
-    fits = f"(least(n, m, (n - rest + m - rest2) div 3 + least(rest, rest2)) * {100 + percent} >= {percent} * (n + m) or n = 65535 or m = 65535)"  # see most_common
-    hot = keep(found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("sig"), "n", "rest").distinct(), "hot")
+    fits = f"(least(n - rare, m - rare2, (n - rest - rare + m - rest2 - rare2) div 3 + least(rest, rest2)) * {100 + percent} >= {percent} * (n + m) or n = 65535 or m = 65535)"  # see most_common
+    hot = keep(found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("sig"), "n", "rest", "rare", "prev").dropDuplicates(["key", "sig"]), "hot")
     any_hot = bool(hot.take(1))
     largest = hot.groupBy("key").count().agg(F.max("count").alias("c")).first()["c"] or 0
     salts = max(1, min(64, -(-largest // KEY_ROWS)))
@@ -387,9 +398,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return m.join(per_key.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))), ["key", "salt"], how).drop("salt")
 
     def star(members: DataFrame, salt: int) -> DataFrame:
-        """Each key's member with the fewest rarer shingles before the key (the least edited copy), with every other member."""
-        centre = keep(members.groupBy("key").agg(F.min_by(F.struct("sig", "n", "rest", *[c for c in ("label",) if c in members.columns]), F.struct(-F.col("rest") / F.col("n"), F.xxhash64("sig", F.lit(salt)))).alias("c")), "centres")
-        j = with_key(members, centre).select("*", F.col("c.n").alias("m"), F.col("c.rest").alias("rest2")).where(fits)
+        """Each key's least edited member (that with the fewest rare shingles; the keys of a group mostly agree on it), with every other member."""
+        centre = keep(members.groupBy("key").agg(F.min_by(F.struct("sig", "n", "rest", "rare", *[c for c in ("label",) if c in members.columns]), F.struct(F.col("rare") / F.col("n"), F.xxhash64("sig", F.lit(salt)))).alias("c")), "centres")
+        j = with_key(members, centre).select("*", F.col("c.n").alias("m"), F.col("c.rest").alias("rest2"), F.col("c.rare").alias("rare2")).where(fits)
         if "label" in members.columns:
             j = j.where("label <> c.label")
         return j.select(F.col("c.sig").alias("a"), F.col("sig").alias("b")).where("a <> b")
@@ -418,13 +429,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def all_apart(members: DataFrame) -> DataFrame:
         """Pairs of members of a key in different components, as far as place and size leave a link possible; large groups are split into blocks."""
-        ends = keep(members.groupBy("key").agg(F.min("n").alias("least_n"), F.max(F.col("n") - F.col("rest")).alias("most_before")), "ends")
-        left = with_key(members, ends).where(f"least(n, rest + (n - rest + most_before) div 3) * {100 + percent} >= {percent} * (n + least_n) or n = 65535").drop("least_n", "most_before")
+        ends = keep(members.groupBy("key").agg(F.min("n").alias("least_n"), F.max(F.col("n") - F.col("rest") - F.col("rare")).alias("most_before")), "ends")
+        left = with_key(members, ends).where(f"least(n - rare, rest + (n - rest - rare + most_before) div 3) * {100 + percent} >= {percent} * (n + least_n) or n = 65535").drop("least_n", "most_before")
         left = keep(left, "possible")
         sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "blocks")
         left = with_key(left, sizes)
-        other = left.select("key", F.col("sig").alias("s2"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("label").alias("l2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        return left.withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int")).join(other, ["key", "block"]).where("sig < s2 and label <> l2").where(fits).select(F.col("sig").alias("a"), F.col("s2").alias("b"))
+        other = left.select("key", F.col("sig").alias("s2"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("rare").alias("rare2"), F.col("prev").alias("prev2"), F.col("label").alias("l2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        return left.withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int")).join(other, ["key", "block"]).where("sig < s2 and label <> l2 and (prev <> prev2 or prev = 0)").where(fits).select(F.col("sig").alias("a"), F.col("s2").alias("b"))
 
     rest = labelled(labelled(found.where("kind = 1").select("a", "b").distinct(), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
     if any_hot:
