@@ -50,7 +50,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Deletes a table that keep() wrote, once nothing reads it any more; other tables are left alone."""
-    path = getattr(df, "kept_path", None)
+    path = df.__dict__.get("kept_path")
     if path:
         _delete(df.sparkSession, path)
 
@@ -63,12 +63,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession, *spared: DataFrame):
-    """Deletes the tables that keep() writes inside, at the end; what must outlive it is written after it, or spared."""
+def scratch(spark: SparkSession):
+    """Deletes the tables that keep() writes inside, at the end, except those written by the function that it yields."""
     held = _held.setdefault(id(spark), [])
-    before = set(held)
-    yield
-    for path in [p for p in held if p not in before and p not in {getattr(s, "kept_path", None) for s in spared}]:
+    spared = set(held)
+
+    def outlives(df: DataFrame, name: str) -> DataFrame:
+        out = keep(df, name)
+        spared.add(out.kept_path)
+        return out
+
+    yield outlives
+    for path in [p for p in held if p not in spared]:
         _delete(spark, path)
 
 

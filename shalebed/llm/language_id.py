@@ -15,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from shalebed.llm.common import crc_mod, small_batches, sum_arrays
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
+LOW_SHARE, LOW_FACTOR = 0.002, 0.6
 PIECE = 1_000_000  # code points that are hashed at once, with the last two of the piece before
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals that are no decimal digits
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
@@ -41,6 +43,11 @@ def gram_counts(text: str) -> np.ndarray:
     return total
 
 
+def has_letter(text: str) -> bool:
+    """One of Unicode's letters; numerals such as a half or a superscript two are none."""
+    return any(c.isalpha() for m in _WORD.finditer(text) for c in m.group())
+
+
 def weigh(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, values): TF-IDF with 1 + log tf, of length 1."""
     at = np.flatnonzero(counts)
@@ -106,20 +113,29 @@ def _sparse(batches):
 
 
 class Model:
-    def __init__(self, labels: list[str], idf: np.ndarray, w: np.ndarray, t: float):
-        self.labels, self.idf, self.w, self.t = labels, idf, w, t
+    """lowest: the evidence that nearly all held-back rows of known languages pass, see fit()."""
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTER.search(text) or not self.labels:
-            return "und", 0.0
+    def __init__(self, labels: list[str], idf: np.ndarray, w: np.ndarray, t: float, lowest: float = 0.0):
+        self.labels, self.idf, self.w, self.t, self.lowest = labels, idf, w, t, lowest
+
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """(label, calibrated score, evidence: the label's logit, which is low for texts of no learned language, whatever the score)."""
+        if not text or not has_letter(text) or not self.labels:
+            return "und", 0.0, 0.0
         at, v = weigh(gram_counts(text), self.idf)
-        p = softmax(v @ self.w[at] / self.t)
+        logits = v @ self.w[at]
+        p = softmax(logits / self.t)
         k = int(p.argmax())
-        return self.labels[k], float(p[k])
+        return self.labels[k], float(p[k]), float(logits[k])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out_mod: int = 5, held_out_rest: int = 0, sample_rows: int = 4000, epochs: int = 3) -> Model:
-    """Learns from rows with text and label whose crc32(id as text) modulo held_out_mod is not held_out_rest."""
+    """Learns from rows with text and label whose crc32(id as text) modulo held_out_mod is not held_out_rest.
+
+    A fifth of the sample is held back from the weights. It gives the temperature, and the evidence below which a text
+    is hardly of any learned language: LOW_FACTOR of what all but LOW_SHARE of the held-back rows reach. (The score
+    can't tell: where no language fits, one may still be far likelier than the rest.) With one label there is no evidence.
+    """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     rest = F.coalesce(crc_mod(F.col("doc_id"), held_out_mod), F.lit(-1))
     train = src.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (rest != held_out_rest))
@@ -151,30 +167,37 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     w = m.weights()
     check = held or fitted
     t = temperature(np.array([v @ w[at] for at, v, _ in check]), np.array([y for _, _, y in check])) if len(labels) > 1 else 1.0
-    return Model(labels, idf, w.astype(np.float32), t)
+    lowest = lowest_evidence([float((v @ w[at]).max()) for at, v, _ in check], len(labels))
+    return Model(labels, idf, w.astype(np.float32), t, lowest)
+
+
+def lowest_evidence(evidence: list[float], labels: int) -> float:
+    return LOW_FACTOR * max(0.0, float(np.quantile(evidence, LOW_SHARE))) if labels > 1 and evidence else 0.0
 
 
-def _predict(model_bc):
+def _predict(model_bc, place: int, names: tuple[str, ...]):
     def run(batches):
         m = model_bc.value
         for b in batches:
-            got = [m.predict(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            got = [m.predict(t.as_py()) for t in b.column(place)]
+            more = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))][: len(names)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs (its columns may be any but lang_pred and score) with lang_pred and score.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", evidence_col: str | None = None) -> DataFrame:
+    """docs with more columns, pred_col, score_col and evidence_col if it is given, whose names docs must not have yet.
 
-    Null texts and texts without a letter are `und` with score 0, as is all text for a model that saw no label.
+    Null texts and texts without a letter are `und` with score and evidence 0, as is all text for a model that saw no label.
     """
+    names = tuple(c for c in (pred_col, score_col, evidence_col) if c is not None)
+    if {c.lower() for c in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column of {', '.join(names)} already; give other names")
     small_batches(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights a language
-    renamed = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema.fields)
-    out = renamed.mapInArrow(_predict(bc), f"{schema}, lang_pred string, score double")
-    return out.withColumnRenamed("text", text_col) if text_col != "text" else out
+    schema = StructType([*docs.schema.fields, *[StructField(c, StringType() if c == pred_col else DoubleType()) for c in names]])
+    return docs.mapInArrow(_predict(bc, docs.columns.index(text_col), names), schema)
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out_mod: int = 5, held_out_rest: int = 0, sample_rows: int = 4000) -> DataFrame:

@@ -13,6 +13,8 @@ sent to the partition that counted them, which returns partial sums.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from shalebed.llm.common import WordHashes, batch, crc_mod, keep, mix, small_batches, words_of
 
 PARTS_BITS, SUB_BITS, BITS, K, LAMBDA = 6, 6, 8, 4, 0.7
+PART_BYTES = 16 << 20  # text for each partition of the counts, about
 END, START = 0x1D8E4E27C47D124F, 0x7B1C9F3A5E2D4C61  # hashes of the end and start marks, which no word can be
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -358,16 +361,24 @@ def _gathered(pdf):
     return pd.DataFrame({"row": u, "more_known": np.bincount(at, known).astype(np.int64), "more_base": np.bincount(at, base)})
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 7, held_out_rest: int = 2, part_bits: int = PARTS_BITS, max_filter_bytes: int = 384 << 20, top_words: int = 196_608) -> DataFrame:
+def part_bits_for(n_bytes: int) -> int:
+    """2 ** bits partitions, so that each counts about PART_BYTES of text: from 64 of them up to 65,536, which 1 TB needs."""
+    return min(16, max(PARTS_BITS, math.ceil(math.log2(max(1, n_bytes / PART_BYTES)))))
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 7, held_out_rest: int = 2, part_bits: int | None = None, max_filter_bytes: int = 384 << 20, top_words: int = 196_608) -> DataFrame:
     """One row per row of docs: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Null or blank texts have one token, the end. Rows with a null id are training rows. Repeated rows count and score
     each. An empty table gives an empty result. Extra columns of docs are not read. Words are told apart by 64-bit hashes.
+    The number of partitions follows the size of the texts unless part_bits is given.
     """
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), held_out_mod) == held_out_rest, F.lit(False))
+    if part_bits is None:
+        part_bits = part_bits_for(src.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
     parts = 1 << part_bits
     counted = src.where(~held_out).select("text").mapInArrow(_count(part_bits), "kind int, pid int, keys binary, counts binary")
     model = keep(counted.groupBy("pid").applyInPandas(_build(max(1, top_words // parts)), "pid int, words binary, counts binary, n long, v long, sizes binary, bits binary, top_words binary, top_counts binary"), "lm")

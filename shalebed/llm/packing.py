@@ -43,7 +43,7 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list
 
 def token_count(text):
     """Number of white-space separated words (null: 0)."""
-    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, 0).otherwise(F.size(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
 def pack_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, buckets: int = 16, budget: int = 16384, group: int = 2000) -> DataFrame:

@@ -4,8 +4,10 @@ Terms are 5-word shingles (a shorter text is one term). Every occurrence of a te
 hash sets; a bit of the fingerprint is 1 if the weights of its ones outweigh those of its zeros. Votes are counted 3 to
 a long (lanes of 21 bits), after cutting texts into chunks whose weights fit a lane, so that one text needs 44 sums
 for 128 bits. Search: up to a radius of 7, the fingerprint is cut into radius+1 blocks; each block permuted to the
-front is a table's key; two fingerprints within the radius agree on at least one block. Blocks for a larger radius
-are too short to tell fingerprints apart, so there each query is compared with each fingerprint held.
+front is a table's key; two fingerprints within the radius agree on at least one block. For a larger radius such
+tables tell hardly anything apart (of 37 blocks of 3 bits, unrelated fingerprints share some block nearly always; of
+8 blocks of 16 bits with up to 4 differing ones, 30 % do), so there the stated queries are compared with all
+fingerprints, in blocks of bounded size: exact too.
 
 The radius comes from the Jaccard similarity that a search is to find: of texts of equal length that share J of all
 their shingles, the angle's cosine is 2J / (1 + J), and each bit differs with the angle's share of a half turn.
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from shalebed.llm.common import keep
 
 WIDTH, LANE, CHUNK = 5, 21, 500_000
+BLOCK_ROWS, RANGE_BYTES = 65_536, 24 << 20
 _MASK = sum(1 << (LANE * k) for k in range(3))
 
 
@@ -73,12 +76,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.cos(distance(a, b) * F.lit(math.pi / 128)))
 
 
-def _compared(queries: DataFrame, held: DataFrame, radius: int) -> DataFrame:
+def _compared(queries: DataFrame, held: DataFrame, radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Each block of queries meets each part of the held fingerprints; one block alone is broadcast, since its size is bounded."""
     (q0, q1), (f0, f1) = halves(F.col("q")), halves(F.col("f"))
     a = queries.distinct().select("q", q0.alias("q0"), q1.alias("q1"))
     b = held.distinct().select("f", f0.alias("f0"), f1.alias("f1"))
     d = F.bit_count(F.col("q0").bitwiseXOR(F.col("f0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("f1")))
-    return b.join(F.broadcast(a), d <= radius).select("q", "f", d.alias("distance"))
+    a = keep(a, "asked")
+    blocks = max(1, -(-a.count() // block_rows))
+    if blocks == 1:
+        return b.join(F.broadcast(a), d <= radius).select("q", "f", d.alias("distance"))
+    parts = max(1, -(-b.count() // (4 * block_rows)))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    a = a.select("*", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), each(parts, "part"))
+    b = b.select("*", F.pmod(F.xxhash64("f"), F.lit(parts)).cast("int").alias("part"), each(blocks, "block"))
+    return a.join(b, ["block", "part"]).where(d <= radius).select("q", "f", d.alias("distance"))
 
 
 def within(queries: DataFrame, held: DataFrame, radius: int = 3) -> DataFrame:
@@ -104,14 +116,13 @@ def radius_for(similarity: float = 0.75, recall: float = 0.999) -> int:
     return 128
 
 
-def _edited(t: DataFrame, groups: int) -> DataFrame:
+def _edited(t: DataFrame, light: DataFrame, ranges: int) -> DataFrame:
     """(k, h, doc_id, n, xk, xh, text) of each different (k, h) of t, in the order of descending (k, h): x is the next one's key, text the edited text.
 
     The order is cut into ranges of about equal row counts (one (k, h) for each is all that the driver sees). A range's
     first document also goes to the range before it as a guest, so that texts move once.
     """
-    light = keep(t.select("k", "h"), "order")
-    ranges = light.repartitionByRange(2 * groups, F.desc("k"), F.desc("h")).groupBy(F.spark_partition_id().alias("pid")).agg(F.max(F.struct("k", "h")).alias("first"))
+    ranges = light.repartitionByRange(ranges, F.desc("k"), F.desc("h")).groupBy(F.spark_partition_id().alias("pid")).agg(F.max(F.struct("k", "h")).alias("first"))
     firsts = sorted(((r["first"]["k"], r["first"]["h"]) for r in ranges.collect()), reverse=True) or [(0, 0)]  # at most a row for each range
     bk, bh = F.array(*[F.lit(k).cast("long") for k, _ in firsts]), F.array(*[F.lit(h).cast("long") for _, h in firsts])
     count, steps = len(firsts), [1 << i for i in reversed(range((len(firsts) - 1).bit_length()))]
@@ -137,18 +148,22 @@ def _edited(t: DataFrame, groups: int) -> DataFrame:
 
 
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None, query_mod: int = 100) -> DataFrame:
-    """One row per different (id, text): (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within, within_ids).
+    """One row per row of docs: (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within, within_ids).
 
     Edited text and next document as the order by descending id (ties: by a hash of the text) gives them. Null texts
-    are empty, and an empty text's fingerprint is all zeros. Rows that repeat id and text are one document; null ids come last. A
-    single document is its own next one. n_within: for ids divisible by query_mod, how many other documents' fingerprints lie within the radius;
+    are empty, and an empty text's fingerprint is all zeros. Rows that repeat id and text are one document with a row for
+    each; null ids come last. A single document is its own next one. n_within: for ids divisible by query_mod, how many other documents' fingerprints lie within the radius;
     within_ids: the ids of those documents in order, nulls first; both are null for the rest. The radius is radius_for()
     unless it is given. Extra columns are not read.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h")]
-    edited = keep(_edited(src.select(*key, "doc_id", "text"), int(spark.conf.get("spark.sql.shuffle.partitions"))), "edited")
+    light = keep(src.select(*key, F.octet_length("text").alias("bytes")), "order")
+    size = light.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    edited = keep(_edited(src.select(*key, "doc_id", "text"), light.select("k", "h"), ranges), "edited")
+    repeats = keep(light.groupBy("k", "h").agg(F.count("*").cast("int").alias("times")).where("times > 1"), "repeats")
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the texts' shuffle files
     fp = keep(fingerprints(src.select(*key, "text"), ["k", "h"], "text"), "fp")
@@ -162,6 +177,7 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = near.join(held.select(F.col("fingerprint").alias("f"), "members"), "f").groupBy("q").agg(F.flatten(F.collect_list("members")).alias("all"))
     near = keep(near.select("q", F.sort_array(F.transform("all", lambda m: m["doc_id"])).alias("all")), "members")
     out = out.join(near.select(F.col("q").alias("fingerprint"), "all"), "fingerprint", "left")
+    out = out.join(repeats, ["k", "h"], "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)))))
     own = F.array_position("all", F.col("doc_id")).cast("int")
     asked = lambda c: F.when(F.col("doc_id") % query_mod == 0, c)
     others = F.concat(F.slice("all", F.lit(1), own - 1), F.slice("all", own + 1, F.size("all")))

@@ -4,6 +4,9 @@ Inputs: a word is the sum of its own vector (if training saw it often enough) an
 character n-grams. A window of WINDOW words goes through a GRU in each direction; attention pools the states; a logistic
 unit judges. Windows overlap by half and cover the whole text; a text's score is that of its worst window.
 
+The vocabulary of words with their own vectors has at most VOCABULARY words (the usual ones of the sample); all other
+words have the vectors of their character n-grams alone.
+
 Training, on a bounded sample of labelled rows: first every window carries its document's label; then, round after
 round, a toxic document is held by its worst window alone and a clean one by the windows that scored worst.
 """
@@ -17,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalebed.llm.common import crc_mod, small_batches
+from shalebed.llm.common import crc_mod, keep, small_batches
 
 WINDOW, STEP, DIM, HIDDEN, PIECE = 24, 12, 16, 8, 64
-GRAM_BITS = 15
+GRAM_BITS, VOCABULARY = 15, 20_000
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&~^_-+=/\\|`"
 _P = np.uint32(0x9E3779B1)
 
@@ -261,7 +264,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, first_steps: int
         for w in set(t):
             w = w.strip(_STRIP) or w
             counts[w] = counts.get(w, 0) + 1
-    usual = sorted((w for w, c in counts.items() if c >= 5), key=lambda w: (-counts[w], w))[:20_000]
+    usual = sorted((w for w, c in counts.items() if c >= 5), key=lambda w: (-counts[w], w))[:VOCABULARY]
     net = Net({w: i + 1 for i, w in enumerate(usual)}, seed)
     opt = Adam(net.p)
     bad, good = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
@@ -307,12 +310,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, first_steps: int
     return net
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_mod: int = 3, held_out_rest: int = 1, sample_toxic: int = 1500, sample_clean: int = 3000, sample_chars: int = 20_000, threshold: float = 0.7) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_mod: int = 3, held_out_rest: int = 1, sample_toxic: int = 1500, sample_clean: int = 3000, sample_chars: int = 24_000_000, threshold: float = 0.7) -> DataFrame:
     """One row per row of docs: (id_col, held_out, score, predicted).
 
-    The net is fitted on at most sample_toxic and sample_clean labelled rows of at most sample_chars characters, none of
-    them held out; every whole text is scored. Null and wordless texts get the lowest score. Labels that are null or not 0 or 1 are left out;
-    if a document has several labels it counts as toxic if one says so. Null ids are not held out. Extra columns are not read.
+    The net is fitted on the whole texts of at most sample_toxic and sample_clean labelled rows, none of them held out,
+    picked by a hash of the id; a text that would take their total past sample_chars characters is passed over. Every
+    whole text is scored. Null and wordless texts get the lowest score. Labels that are null or not 0 or 1 are left out;
+    if a document has several labels it counts as toxic if one says so; of texts that repeat an id the sample takes the
+    least. Null ids are not held out. Repeated rows are scored each. Extra columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -322,8 +327,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     pick = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(n)
     chosen = pick(1, sample_toxic).union(pick(0, sample_clean))
-    rows = src.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= sample_chars).select("doc_id", "text", "y").limit(2 * (sample_toxic + sample_clean)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    sample = src.join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sample = keep(sample.withColumn("n", F.length("text")), "sample")
+    room, taken = sample_chars, []
+    for r in sample.select("doc_id", "n").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").collect():  # sample_toxic + sample_clean rows at most
+        if r["n"] <= room:
+            taken.append(r["doc_id"])
+            room -= r["n"]
+    rows = sample.where(F.col("doc_id").isin(taken)).select("doc_id", "text", "y").collect() if taken else []
+    rows.sort(key=lambda r: r["doc_id"])
     net = train([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64))
     bc = spark.sparkContext.broadcast(net)
 

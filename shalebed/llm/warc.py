@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from shalebed.llm.common import keep, new_path, small_batches
 
-MIN_BYTES = 100
+MIN_BYTES, SALTS = 100, 8
+DATE = "2020-01-01T00:00:00Z"  # pages carry no time of capture
 
 
 def surt(url: str | None) -> str:
@@ -48,13 +49,14 @@ def file_system(uri: str):
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, first) -> bytes:
-    """One gzip member: a response with its payload, or a revisit that names the response's record."""
+    """One gzip member: a response with its HTTP head and payload, or a revisit with the head alone that names the response's record."""
     kind = "response" if first is None else "revisit"
-    body = payload if first is None else b""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body = http + (payload if first is None else b"")
     clean = "".join(c for c in (url or "") if c not in "\r\n")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>", "WARC-Date: 2020-01-01T00:00:00Z", f"WARC-Target-URI: {clean}",
-        f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {clean}",
+        f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
@@ -65,6 +67,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, first) -> byte
 
 
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
+    """(named fields, payload): what follows the HTTP head of the record's block."""
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
@@ -74,7 +77,7 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
     size = int(fields["Content-Length"])
     if rest[size:] != b"\r\n\r\n":
         raise ValueError("a record's length is wrong")
-    return fields, rest[:size]
+    return fields, rest[:size].partition(b"\r\n\r\n")[2]
 
 
 _WRITTEN = pa.schema([("key", pa.string()), ("seq", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -114,10 +117,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     html = F.coalesce(F.col(html_col), F.lit(""))
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     long_enough = F.octet_length("html") >= MIN_BYTES
+    # a page is dealt over salts beside its digest, so that a payload of very many pages is no one task's work
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     firsts = keep(src.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "firsts")
     fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
-    joined = src.join(firsts, "digest", "left")
+    joined = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(firsts.select("*", salted), ["digest", "salt"], "left")
     first = F.when(long_enough & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = joined.select("page_id", "url", "html", "digest", first.alias("first"))
     return keep(rows.mapInArrow(_write(folder, shard_bytes), "key string, seq string, file string, offset long, length long"), "records")
