@@ -21,8 +21,68 @@ def fallback(asked: DataFrame, held: DataFrame, key: list[str], version: str, wi
 
 def resolve_unique(rows: DataFrame, key: list[str], value: Column) -> DataFrame:
     """Resolved with the one distinct value, Ambiguous, or NoMatch."""
-    out = rows.groupBy(*key).agg(F.count_distinct(value).alias("n"), F.min(value).alias("v"))
-    return out.select(*key, F.when(F.col("n") == 1, "Resolved").when(F.col("n") == 0, "NoMatch").otherwise("Ambiguous").alias("outcome"), F.when(F.col("n") == 1, F.col("v")).alias("value"))
+    out = rows.groupBy(*key).agg(F.min(value).alias("v"), F.max(value).alias("w"))
+    one = F.col("v") == F.col("w")
+    return out.select(*key, F.when(F.col("v").isNull(), "NoMatch").when(one, "Resolved").otherwise("Ambiguous").alias("outcome"), F.when(one, F.col("v")).alias("value"))
+
+
+def resolve_ranked(rows: DataFrame, key: list[str], value: Column, authority: Column) -> DataFrame:
+    """resolve_unique of the most authoritative rows of each key alone: the least authority wins, and the others have no say."""
+    least = rows.groupBy(*key).agg(F.min(authority).alias("_least"))
+    return resolve_unique(rows.join(least, key).where(authority == F.col("_least")), key, value)
+
+
+def candidates(asked: DataFrame, answers: DataFrame, key: list[str], options: str, option: str, value: str) -> DataFrame:
+    """Each asked key with the value of the first of its ranked candidates that has one; NULL where none has."""
+    each = asked.select(*key, F.posexplode(options).alias("_place", option))
+    found = each.join(answers.select(option, value), option).groupBy(*key).agg(F.min_by(value, "_place").alias(value), F.min("_place").alias("place"))
+    return asked.join(found, key, "left")
+
+
+def lookup_plan(resource: DataFrame, key: list[str], branches: str, versions: str, kinds: str) -> DataFrame:
+    """(key, place, api_version, kind): live branch literals if there are any, else every ranked version with every kind, in that order."""
+    live = F.transform(F.coalesce(F.col(branches), F.array().cast("array<string>")), lambda b: b)
+    used = F.when(F.size(live) > 0, live).otherwise(F.array_distinct(F.col(versions)))
+    pairs = F.flatten(F.transform(used, lambda v: F.transform(F.array_distinct(F.col(kinds)), lambda k: F.struct(v.alias("api_version"), k.alias("kind")))))
+    return resource.select(*key, F.posexplode(pairs).alias("place", "p")).select(*key, "place", "p.api_version", "p.kind")
+
+
+def infer_then_lookup(asked: DataFrame, inferred: DataFrame, answers: DataFrame, key: str, api: str, value: str) -> DataFrame:
+    """Resources without an apiVersion take the inferred one, if it is resolved, and are looked up with it."""
+    known = asked.join(inferred.where("outcome = 'Resolved'").select(key, F.col("value").alias("_v")), key, "left").withColumn(api, F.coalesce(F.col(api), "_v")).drop("_v")
+    return known.join(answers, [key, api], "left").select(*asked.columns, value)
+
+
+def presence(asked: DataFrame, held: DataFrame, key: list[str], complete: bool) -> DataFrame:
+    """asked with `present`: true where it is held, false where the collection is complete, NULL where nothing can be told."""
+    j = asked.join(held.select(*key).distinct().withColumn("_held", F.lit(True)), key, "left")
+    return j.withColumn("present", F.coalesce("_held", F.lit(False) if complete else F.lit(None).cast("boolean"))).drop("_held")
+
+
+def candidate_order(source: Column, origin: Column, api_version: Column) -> Column:
+    """A comparable struct: what a chart ships before a shortlist, before caches, before the network; then the newest version."""
+    rank = F.when(source == "chart_local", 0).when(source == "shortlist", 1).when(source == "cache", 2).otherwise(3)
+    v = version_rank(F.regexp_extract(api_version, "([^/]*)$", 1))
+    return F.struct(rank.alias("source"), F.when(origin == "collection", 0).otherwise(1).alias("origin"), (-v["stage"]).alias("stage"), (-v["number"]).alias("number"), (-v["minor"]).alias("minor"), api_version.alias("api_version"))
+
+
+def lookup_trace(asked: DataFrame, providers: DataFrame, answers: DataFrame, key: list[str], rank: str) -> DataFrame:
+    """(key, rank, outcome) of every attempt up to the one that answers: later providers are never asked. providers are a few."""
+    tries = asked.select(*key).distinct().crossJoin(F.broadcast(providers.select(rank)))
+    hit = answers.select(*key, rank).distinct().withColumn("_hit", F.lit(True))
+    j = tries.join(hit, [*key, rank], "left")
+    first = j.where("_hit").groupBy(*key).agg(F.min(rank).alias("_first"))
+    out = j.join(first, key, "left").where(F.col("_first").isNull() | (F.col(rank) <= F.col("_first")))
+    return out.select(*key, rank, F.when(F.col("_hit"), "found").otherwise("missing").alias("outcome"))
+
+
+def live_branches(branches: DataFrame, known: DataFrame, key: list[str], api: str) -> DataFrame:
+    """The first branch whose API is there; none at all where an unknown API comes before it. known: api, present (NULL: unknown); a branch without an API always lives."""
+    j = branches.join(known.select(F.col(api), "present"), api, "left")
+    lives = F.when(F.col(api).isNull(), F.lit(True)).otherwise(F.col("present"))
+    open_at = j.where(lives.isNull()).groupBy(*key).agg(F.min("place").alias("_open"))
+    first = j.where(lives).groupBy(*key).agg(F.min_by("literal", "place").alias("literal"), F.min("place").alias("place"))
+    return first.join(open_at, key, "left").where(F.col("_open").isNull() | (F.col("place") < F.col("_open"))).drop("_open")
 
 
 def all_resolve(asked: DataFrame, held: DataFrame, group: list[str], key: str) -> DataFrame:

@@ -1,12 +1,22 @@
-"""The lattice of JSON Schemas: infer, merge (join), intersect, and the distributed fold over documents."""
+"""The lattice of JSON Schemas: infer, merge (join), intersect, and the distributed fold over documents.
+
+Merging goes through a state, in which every alternative lies under its type and its other keywords, so that states can
+be combined in any order and any grouping: what must not depend on the order (which keywords agree, which enums meet)
+is decided only when a state is written out as a schema again.
+"""
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import DataFrame
 
 ANNOTATIONS = ("title", "description", "default", "examples", "$comment")
+SCALARS = ("boolean", "integer", "number", "string")
+_DATA = ("enum", "const", "default", "required", "examples")
+_MAPS = ("properties", "patternProperties", "$defs", "definitions", "dependentSchemas")
+_HOST = ("type", "properties", "patternProperties", "additionalProperties", "required")
 
 
 def canonical(schema) -> str:
@@ -14,8 +24,9 @@ def canonical(schema) -> str:
 
 
 def infer(value) -> dict:
+    """Null says nothing of a type; objects are open; an array's items are merged."""
     if value is None:
-        return {"type": "null"}
+        return {}
     if isinstance(value, bool):
         return {"type": "boolean"}
     if isinstance(value, int):
@@ -25,7 +36,8 @@ def infer(value) -> dict:
     if isinstance(value, str):
         return {"type": "string"}
     if isinstance(value, list):
-        return {"type": "array"} | ({"items": merge_all([infer(x) for x in value])} if value else {})
+        items = merge_all([infer(x) for x in value])
+        return {"type": "array"} | ({"items": items} if items else {})
     return {"type": "object", "properties": {k: infer(v) for k, v in sorted(value.items())}}
 
 
@@ -35,103 +47,308 @@ def types_of(schema: dict) -> list[str]:
 
 
 def variants(schema: dict) -> list[dict]:
+    """The alternatives of a plain anyOf and of a list of types; the null among such types keeps no other keyword."""
     if set(schema) == {"anyOf"}:
         return [v for s in schema["anyOf"] for v in variants(s)]
     t = types_of(schema)
-    return [schema | {"type": x} for x in t] if len(t) > 1 else [schema]
+    return [{"type": x} if x == "null" else schema | {"type": x} for x in t] if len(t) > 1 else [schema]
+
+
+def subschemas(schema: dict):
+    """(keyword, key or place or None, subschema) of what lies directly below, in schema positions alone: data that looks like a schema is none."""
+    for k, v in schema.items():
+        if k in _MAPS and isinstance(v, dict):
+            for n, s in v.items():
+                yield k, n, s
+        elif k in ("allOf", "anyOf", "oneOf", "prefixItems") or k == "items" and isinstance(v, list):
+            for n, s in enumerate(v):
+                yield k, n, s
+        elif k in ("items", "additionalProperties", "additionalItems", "not", "if", "then", "else", "contains", "propertyNames") and isinstance(v, dict):
+            yield k, None, v
+
+
+def keyword_context(keyword: str, key: str | int | None = None) -> str:
+    """What a subschema below a keyword says of: the value itself, its members, its keys, or a condition."""
+    if keyword in ("allOf", "anyOf", "oneOf"):
+        return "value"
+    if keyword in ("if", "then", "else", "not"):
+        return "condition"
+    if keyword in ("$defs", "definitions"):
+        return "definition"
+    return "keys" if keyword == "propertyNames" else "member"
+
+
+def rebuilt(schema, f):
+    """The schema with f applied to each direct subschema."""
+    if not isinstance(schema, dict):
+        return schema
+    out = dict(schema)
+    for k, n, s in subschemas(schema):
+        if n is None:
+            out[k] = f(s)
+        else:
+            if out[k] is schema[k]:
+                out[k] = dict(schema[k]) if isinstance(schema[k], dict) else list(schema[k])
+            out[k][n] = f(s)
+    return out
 
 
 def strip(schema):
     """Without annotations, in schema positions."""
-    if isinstance(schema, list):
-        return [strip(s) for s in schema]
     if not isinstance(schema, dict):
         return schema
-    return {k: {n: strip(s) for n, s in v.items()} if k in ("properties", "patternProperties", "$defs", "definitions") else v if k in ("enum", "const", "default", "required") else strip(v) for k, v in schema.items() if k not in ANNOTATIONS}
+    return rebuilt({k: v for k, v in schema.items() if k not in ANNOTATIONS}, strip)
+
+
+def strip_descriptions(schema):
+    if not isinstance(schema, dict):
+        return schema
+    return rebuilt({k: v for k, v in schema.items() if k != "description"}, strip_descriptions)
+
+
+def attach_descriptions(schema: dict, described: dict[tuple[str, ...], str]) -> dict:
+    """Descriptions by path (* is an array's item); one that is there already stays."""
+
+    def at(s: dict, path: tuple[str, ...]) -> dict:
+        out = dict(s)
+        if path in described and "description" not in out:
+            out["description"] = described[path]
+        if isinstance(out.get("properties"), dict):
+            out["properties"] = {k: at(v, (*path, k)) if isinstance(v, dict) else v for k, v in out["properties"].items()}
+        if isinstance(out.get("items"), dict):
+            out["items"] = at(out["items"], (*path, "*"))
+        return out
+
+    return at(schema, ())
 
 
 def union(schemas: list[dict]) -> dict:
-    """Distinct variants (annotations aside), in canonical order; the open schema absorbs nothing."""
+    """Distinct variants (annotations aside), in canonical order; open schemas give way to others."""
     found: dict[str, dict] = {}
     for s in schemas:
         for v in variants(s):
             if v:
                 found.setdefault(canonical(strip(v)), v)
     out = [found[k] for k in sorted(found)]
-    if not out:
-        return {}
-    if len(out) == 1:
-        return out[0]
-    if all(set(v) == {"type"} for v in out):
-        return {"type": sorted({t for v in out for t in types_of(v)})}
-    return {"anyOf": out}
+    return {} if not out else out[0] if len(out) == 1 else {"anyOf": out}
 
 
-def merge(a: dict, b: dict) -> dict:
-    if a == b or not b:
-        return a
-    if not a:
-        return b
-    ta, tb = types_of(a), types_of(b)
-    if ta == ["integer"] and tb == ["number"] and set(a) == set(b) == {"type"} or ta == ["number"] and tb == ["integer"] and set(a) == set(b) == {"type"}:
-        return {"type": "number"}
-    if ta == tb == ["object"]:
-        p, q = a.get("properties", {}), b.get("properties", {})
-        out = {"type": "object", "properties": {k: merge(p[k], q[k]) if k in p and k in q else p.get(k, q.get(k)) for k in sorted({*p, *q})}}
-        required = sorted(set(a.get("required", [])) & set(b.get("required", [])))
-        return out | ({"required": required} if required else {})
-    if ta == tb == ["array"]:
-        items = merge(a.get("items", {}), b.get("items", {}))
-        return {"type": "array"} | ({"items": items} if items else {})
-    if "enum" in a and "enum" in b:
-        return union([a, b])
-    flat = [*variants(a), *variants(b)]
-    for kind in ("object", "array"):
-        same = [v for v in flat if types_of(v) == [kind]]
-        if len(same) > 1:
-            joined = same[0]
-            for s in same[1:]:
-                joined = merge(joined, s)
-            return union([*[v for v in flat if types_of(v) != [kind]], joined])
-    return union(flat)
+# ---- states: {type: {canonical of rigid keywords: [rigid keywords, payload]}}
 
 
-def merge_all(schemas: list[dict]) -> dict:
-    """Left fold in canonical order, so that the result doesn't depend on the order of rows."""
+def _lift_one(s: dict) -> dict:
+    t = types_of(s)
+    kind = t[0] if len(t) == 1 else ""
+    host = not t and s and set(s) <= set(_HOST) and ("properties" in s or "additionalProperties" in s)
+    payload: dict = {"ann": {k: [s[k]] for k in ANNOTATIONS if k in s}}
+    rest = {k: v for k, v in s.items() if k not in ANNOTATIONS and k != "type"}
+    if kind == "object" or host:
+        kind = "object"
+        payload |= {"untyped": bool(host), "required": sorted(set(rest.pop("required", []))), "more": _lift_more(rest.pop("additionalProperties", None))}
+        for k in ("properties", "patternProperties"):
+            payload[k] = {n: lift(v) for n, v in rest.pop(k, {}).items()}
+    elif kind == "array":
+        items = rest.get("items")
+        payload["items"] = lift(rest.pop("items")) if isinstance(items, dict) else {}
+    elif kind in SCALARS:
+        payload["enums"] = [sorted(rest.pop("enum"), key=canonical)] if "enum" in rest else []
+        if kind == "string":
+            payload["soft"] = {k: [rest.pop(k)] for k in list(rest) if k not in ("const", "not", "allOf", "anyOf", "oneOf", "$ref")}
+    elif not kind and "type" in s:
+        rest["type"] = s["type"]
+    return {kind: {canonical(rest): [rest, payload]}}
+
+
+def _lift_more(v) -> list:
+    """additionalProperties by what it claims: none, true, the empty schema, false, or a schema's state."""
+    return [0] if v is None else [1] if v is True else [3] if v is False else [4, lift(v)] if v else [2]
+
+
+def lift(schema: dict) -> dict:
     out: dict = {}
-    for text in sorted({canonical(s) for s in schemas}):
-        out = merge(out, json.loads(text))
+    for v in variants(schema):
+        if v:
+            out = combine(out, _lift_one(v))
+    return out
+
+
+def _join(lists: list, more: list) -> list:
+    return sorted({canonical(x): x for x in [*lists, *more]}.values(), key=canonical)
+
+
+def _join_maps(a: dict, b: dict, f) -> dict:
+    return {k: f(a[k], b[k]) if k in a and k in b else a.get(k, b.get(k)) for k in sorted({*a, *b})}
+
+
+def _combine_payload(a: dict, b: dict) -> dict:
+    out = {"ann": _join_maps(a["ann"], b["ann"], _join)}
+    if "required" in a:
+        out |= {"untyped": a["untyped"] or b["untyped"], "required": sorted({*a["required"], *b["required"]})}
+        x, y = a["more"], b["more"]
+        out["more"] = [4, combine(x[1], y[1])] if x[0] == y[0] == 4 else max(x, y, key=lambda m: m[0])
+        for k in ("properties", "patternProperties"):
+            out[k] = _join_maps(a[k], b[k], combine)
+    if "items" in a:
+        out["items"] = combine(a["items"], b["items"])
+    if "enums" in a:
+        out["enums"] = _join(a["enums"], b["enums"])
+    if "soft" in a:
+        out["soft"] = _join_maps(a["soft"], b["soft"], _join)
     return out
 
 
+def combine(a: dict, b: dict) -> dict:
+    """Associative, commutative and idempotent; the empty state is neutral."""
+    same = lambda x, y: [x[0], _combine_payload(x[1], y[1])]
+    return _join_maps(a, b, lambda x, y: _join_maps(x, y, same))
+
+
+def _one_value(values: dict) -> dict:
+    return {k: v[0] for k, v in values.items() if len(v) == 1}
+
+
+def _fits(value, schema: dict) -> bool:
+    if schema["type"] == "string":
+        return isinstance(value, str) and schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)) and "pattern" not in schema
+    own = types_of(infer(value))
+    return own == [schema["type"]] or (own == ["integer"] and schema["type"] == "number")
+
+
+def _lower_one(kind: str, rigid: dict, p: dict) -> list[dict]:
+    out = ({"type": kind} if kind else {}) | rigid | _one_value(p["ann"])
+    if kind == "object":
+        if p["untyped"]:
+            del out["type"]
+        for k in ("properties", "patternProperties"):
+            if p[k]:
+                out[k] = {n: lower(s) for n, s in p[k].items()}
+        if p["required"]:
+            out["required"] = p["required"]
+        more = p["more"]
+        if more[0]:
+            out["additionalProperties"] = {1: True, 2: {}, 3: False}.get(more[0]) if more[0] < 4 else lower(more[1])
+    if kind == "array" and p["items"]:
+        out["items"] = lower(p["items"])
+    if "soft" in p:
+        out |= _one_value(p["soft"])
+    if p.get("enums"):
+        common = intersect_enums(p["enums"])
+        if common is not None and all(_fits(x, out) for x in common):
+            return [out | {"enum": common}]
+        return [out | {"enum": e} for e in p["enums"]]
+    return [out]
+
+
+def lower(state: dict) -> dict:
+    """The schema of a state."""
+    out: list[dict] = []
+    for kind in sorted(state):
+        group = [state[kind][k] for k in sorted(state[kind])]
+        exact_empty = [g for g in group if kind == "object" and g[0].get("maxProperties") == 0]
+        rest = [g for g in group if g not in exact_empty]
+        for part in (rest, *[[g] for g in exact_empty]):
+            if not part:
+                continue
+            keywords: dict = {}
+            for rigid, _ in part:
+                keywords = _join_maps(keywords, {k: [v] for k, v in rigid.items()}, _join)
+            if kind and all(len(v) == 1 for v in keywords.values()):  # every keyword agrees with itself: one alternative
+                out += _lower_one(kind, _one_value(keywords), functools.reduce(_combine_payload, [p for _, p in part]))
+            else:
+                out += [v for rigid, p in part for v in _lower_one(kind, rigid, p)]
+    plain = [canonical(v) for v in out]
+    if canonical({"type": "number"}) in plain:  # every integer is a number
+        out = [v for v in out if v != {"type": "integer"}]
+    if len(out) == 2 and {"type": "null"} in out:
+        other = next(v for v in out if v != {"type": "null"})
+        if other.get("type") in SCALARS and not {"enum", "const"} & set(other):
+            return other | {"type": sorted([other["type"], "null"])}
+    found = {canonical(v): v for v in out}
+    out = [found[k] for k in sorted(found)]
+    return {} if not out else out[0] if len(out) == 1 else {"anyOf": out}
+
+
+def merge(a: dict, b: dict) -> dict:
+    """The join of two schemas: alternatives that agree in their keywords become one, others stay apart under anyOf."""
+    return a if a == b else lower(combine(lift(a), lift(b)))
+
+
+def merge_all(schemas: list[dict]) -> dict:
+    """The join of any number of schemas, in any order; one alone stays as it is."""
+    distinct = {canonical(s): s for s in schemas if s}
+    return {} if not distinct else next(iter(distinct.values())) if len(distinct) == 1 else lower(functools.reduce(combine, map(lift, distinct.values())))
+
+
 def intersect(schemas: list[dict]) -> dict:
+    """All must hold: distinct ones under allOf, without bare types that another schema implies."""
     found: dict[str, dict] = {}
-    for s in schemas:
+    for s in sorted(schemas, key=canonical):
         if s:
             found.setdefault(canonical(strip(s)), s)
     out = [found[k] for k in sorted(found)]
+    bare = lambda s: types_of(s)[0] if set(strip(s)) == {"type"} and len(types_of(s)) == 1 else None
+    out = [s for i, s in enumerate(out) if bare(s) is None or not any(only_type(o, bare(s)) for j, o in enumerate(out) if i != j)]
     return {} if not out else out[0] if len(out) == 1 else {"allOf": out}
 
 
-def intersect_enums(a: list, b: list) -> list | None:
-    keys = {canonical(x) for x in b}
-    out = [x for x in a if canonical(x) in keys]
-    return out or None
+def only_type(schema: dict, kind: str) -> bool:
+    t = types_of(schema)
+    if t:
+        return set(t) == {kind}
+    arms = schema.get("anyOf") or schema.get("oneOf") or []
+    return bool(arms) and all(only_type(s, kind) for s in arms)
+
+
+def intersect_enums(enums: list[list]) -> list | None:
+    """What all of them hold, in canonical order; None if there is nothing."""
+    keys = set.intersection(*[{canonical(x) for x in e} for e in enums])
+    return [json.loads(k) for k in sorted(keys)] or None
 
 
 def allows_type(schema: dict, kind: str) -> bool:
+    """May some value of the kind be valid? True where nothing rules it out."""
     t = types_of(schema)
     if t and kind not in t and not (kind == "integer" and "number" in t):
         return False
     if "const" in schema or "enum" in schema:
-        return any(infer(v)["type"] == kind for v in schema.get("enum", [schema.get("const")]))
+        return any(_value_kind(v) == kind or kind == "number" and _value_kind(v) == "integer" for v in schema.get("enum", [schema.get("const")]))
+    if "not" in schema and isinstance(schema["not"], dict) and set(strip(schema["not"])) == {"type"} and kind in types_of(schema["not"]):
+        return False
     return all(any(allows_type(s, kind) for s in schema[k]) for k in ("anyOf", "oneOf") if k in schema) and all(allows_type(s, kind) for s in schema.get("allOf", []))
 
 
+def _value_kind(value) -> str:
+    return "null" if value is None else types_of(infer(value))[0]
+
+
+def excludes_type(schema: dict, kind: str) -> bool:
+    """Must every value of the kind be invalid?"""
+    return not allows_type(schema, kind)
+
+
 def add_null(schema: dict) -> dict:
     return schema if not schema or allows_type(schema, "null") else merge(schema, {"type": "null"})
 
 
+def permits_empty_string(schema: dict) -> bool:
+    """Is "" valid, as far as the keywords tell?"""
+    import re
+
+    if not allows_type(schema, "string"):
+        return False
+    if "enum" in schema or "const" in schema:
+        return "" in schema.get("enum", [schema.get("const")])
+    if schema.get("minLength", 0) > 0:
+        return False
+    if "pattern" in schema:
+        try:
+            if not re.search(schema["pattern"], ""):
+                return False
+        except re.error:
+            return False
+    return all(any(permits_empty_string(s) for s in schema[k]) for k in ("anyOf", "oneOf") if k in schema) and all(permits_empty_string(s) for s in schema.get("allOf", []))
+
+
 def apply_override(base, over):
     """Recursive; a subtree with $ref and combinators replace; required lists are joined; null deletes."""
     if not isinstance(base, dict) or not isinstance(over, dict) or "$ref" in over:
@@ -149,39 +366,11 @@ def apply_override(base, over):
     return out
 
 
-def descend(schema: dict, segments: list[str], root: dict | None = None, depth: int = 0) -> dict | None:
-    """The subschema at a path through properties, additionalProperties, items, $ref and the first matching combinator."""
-    root = schema if root is None else root
-    if depth > 64:
-        return None
-    if "$ref" in schema and schema["$ref"].startswith("#/"):
-        at = root
-        for part in schema["$ref"][2:].split("/"):
-            at = at.get(part.replace("~1", "/").replace("~0", "~")) if isinstance(at, dict) else None
-            if at is None:
-                return None
-        return descend(at, segments, root, depth + 1)
-    if not segments:
-        return schema
-    head, tail = segments[0], segments[1:]
-    if head in ("*", "[*]") and isinstance(schema.get("items"), dict):
-        return descend(schema["items"], tail, root, depth + 1)
-    if head in schema.get("properties", {}):
-        return descend(schema["properties"][head], tail, root, depth + 1)
-    if isinstance(schema.get("additionalProperties"), dict):
-        return descend(schema["additionalProperties"], tail, root, depth + 1)
-    for k in ("allOf", "anyOf", "oneOf"):
-        for s in schema.get(k, []):
-            found = descend(s, segments, root, depth + 1)
-            if found is not None:
-                return found
-    return None
-
-
 def fold_schemas(df: DataFrame, json_col: str, group_col: str, salts: int = 32) -> DataFrame:
-    """(group, schema): the join of the inferred schemas of JSON texts, folded in two rounds so that no group meets whole in one task.
+    """(group, schema): the join of the inferred schemas of JSON texts, the same for any partitioning.
 
-    Merging is done on distinct schemas; a text that is no JSON is a string.
+    The JVM finds each text's shape first, so that Python sees only distinct shapes: once for each group, and never a
+    group whole in one task. A text that is no JSON is a string; null says nothing.
     """
     from pyspark.sql import functions as F
 
@@ -191,21 +380,32 @@ def fold_schemas(df: DataFrame, json_col: str, group_col: str, salts: int = 32)
         for pdf in batches:
             rows = []
             for g, part in pdf.groupby("g", dropna=False):
-                found = {}
+                state: dict = {}
                 for text in part["j"]:
                     try:
-                        s = infer(json.loads(text)) if text is not None else {"type": "null"}
+                        s = {} if text is None else infer(json.loads(text))
                     except ValueError:
                         s = {"type": "string"}
-                    found[canonical(s)] = s
-                rows.append((g, canonical(merge_all(list(found.values())))))
-            yield pd.DataFrame(rows, columns=["g", "schema"])
+                    state = combine(state, lift(s))
+                rows.append((g if g == g else None, canonical(state)))
+            yield pd.DataFrame(rows, columns=["g", "state"])
 
     def fold(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "schema": [canonical(merge_all([json.loads(x) for x in set(pdf["schema"])]))]})
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "state": [canonical(functools.reduce(combine, [json.loads(x) for x in sorted(set(pdf["state"]))]))]})
 
-    part = df.select(F.col(group_col).cast("string").alias("g"), F.col(json_col).alias("j")).mapInPandas(start, "g string, schema string")
-    part = part.withColumn("salt", F.pmod(F.xxhash64("schema"), F.lit(salts))).groupBy("g", "salt").applyInPandas(fold, "g string, schema string")
-    return part.groupBy("g").applyInPandas(fold, "g string, schema string").withColumnRenamed("g", group_col)
+    def finish(batches):
+        for pdf in batches:
+            pdf["schema"] = [canonical(lower(json.loads(x))) for x in pdf["state"]]
+            yield pdf[["g", "schema"]]
+
+    shape = F.schema_of_variant(F.try_parse_json(json_col))
+    texts = df.select(F.col(group_col).cast("string").alias("g"), F.col(json_col).alias("j"), F.coalesce(shape, F.lit("-")).alias("shape"))
+    # Texts of one shape have one schema, unless it names arrays, nulls or decimals without fraction; of those all distinct texts go on
+    flat = F.when(F.col("shape").rlike(r"ARRAY|VOID|,0\)|^-$"), F.xxhash64("j")).otherwise(F.lit(0))
+    distinct = texts.groupBy("g", "shape", flat.alias("other")).agg(F.min("j").alias("j"))
+    part = distinct.select("g", "j").mapInPandas(start, "g string, state string")
+    part = part.withColumn("salt", F.pmod(F.xxhash64("state"), F.lit(salts))).groupBy("g", "salt").applyInPandas(fold, "g string, state string")
+    out = part.groupBy("g").applyInPandas(fold, "g string, state string").mapInPandas(finish, "g string, schema string")
+    return out.withColumnRenamed("g", group_col)

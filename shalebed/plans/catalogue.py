@@ -31,10 +31,11 @@ def t(spark, d, name):
 
 
 def order_documents(spark, d):
-    """orders with their line items as nested documents; an order without items has no `items`."""
+    """orders with their line items as nested documents, built without text; an order without items has no `items`."""
     items = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag")).alias("items"))
     o = t(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return o.select("o_orderkey", F.parse_json(F.to_json(F.struct("o_custkey", "o_orderstatus", "items"))).alias("doc"))
+    bare, full = (F.to_variant_object(F.struct("o_custkey", "o_orderstatus", *more)) for more in ([], ["items"]))
+    return o.select("o_orderkey", F.when(F.col("items").isNull(), bare).otherwise(full).alias("doc"))
 
 
 @query("""
@@ -48,7 +49,7 @@ UNION ALL SELECT 'items.*.l_returnflag', count(*), count(*) FILTER (l_returnflag
 SELECT path, n, CAST(0 AS BIGINT) AS nulls, truthy, kinds, required FROM p""")
 def path_profile(spark, d):
     docs = order_documents(spark, d)
-    return shred.required_paths(shred.profile(shred.shred(docs, "o_orderkey", F.col("doc"), 3)), t(spark, d, "orders").count())
+    return shred.required_paths(shred.profile(shred.shred(docs, "o_orderkey", F.col("doc"), 4)), t(spark, d, "orders").count())
 
 
 @query("SELECT k AS key, 'integer' AS kind, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k")
@@ -76,7 +77,7 @@ def truthy_counts(spark, d):
     return one("supplier", "s_acctbal", "double").union(one("customer", "c_mktsegment", "string")).union(one("events", "value", "double"))
 
 
-TYPES = {"o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string", "o_custkey": "bigint", "l_quantity": "double", "l_linenumber": "int", "p_name": "string", "p_type": "string", "url": "string", "props": "string", "items": "array<struct<l_linenumber:int,l_returnflag:string>>"}
+TYPES = {"o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string", "o_custkey": "bigint", "l_quantity": "double", "l_linenumber": "int", "p_name": "string", "p_type": "string", "p_brand": "string", "url": "string", "props": "string", "items": "array<struct<l_linenumber:int,l_returnflag:string>>"}
 
 
 def guarded(name, table, key, guard, sql):
@@ -92,22 +93,23 @@ guarded("guard_ne", "orders", "o_orderkey", Guard("ne", "o_orderstatus", "F"), "
 guarded("guard_typeis", "orders", "o_orderkey", Guard("type_is", "o_totalprice", "number"), "o_totalprice IS NOT NULL")
 guarded("guard_int_gt", "lineitem", "l_orderkey", Guard("int_gt", "l_linenumber", 4), "l_linenumber > 4")
 guarded("guard_int_lt", "lineitem", "l_orderkey", Guard("int_lt", "l_linenumber", 3), "l_linenumber < 3")
-guarded("guard_pattern", "part", "p_partkey", Guard("matches", "p_type", "^[A-Z]+ [A-Z]"), "regexp_matches(p_type, '^[A-Z]+ [A-Z]')")
+guarded("guard_pattern", "part", "p_partkey", Guard("matches", "p_brand", "^Brand#[0-9]$"), "regexp_matches(p_brand, '^Brand#[0-9]$')")
 guarded("guard_not_pattern", "pages", "page_id", Guard("not_matches", "url", "^https:"), "NOT regexp_matches(url, '^https:')")
 guarded("guard_has_key", "events", "event_id", Guard("has_key", "props", "k"), "list_contains(json_keys(props), 'k')")
-guarded("guard_absent", "orders", "o_orderkey", Guard("absent", "o_orderpriority"), "o_orderpriority IS NULL")
-guarded("guard_falsy", "orders", "o_orderkey", Guard("not", "o_orderpriority"), "coalesce(o_orderpriority, '') = ''")
+
+def with_items(spark, d):
+    """Orders' items as arrays; an order has a handful."""
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_returnflag")).alias("items"))
 
 
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def guard_contains_member(spark, d):
-    # the guard's meaning as a semi join: no order's items are gathered
-    return t(spark, d, "lineitem").where(F.col("l_returnflag") == "R").select("l_orderkey").distinct()
+    return with_items(spark, d).where(Guard("contains_member", "items", ("l_returnflag", "R")).column(TYPES)).select("l_orderkey")
 
 
 @query("SELECT l_orderkey, count(*) >= 3 AS min_3, count(*) <= 1 AS at_most_one FROM lineitem GROUP BY l_orderkey")
 def guard_member_counts(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg((F.count("*") >= 3).alias("min_3"), (F.count("*") <= 1).alias("at_most_one"))
+    return with_items(spark, d).select("l_orderkey", Guard("min_members", "items", 3).column(TYPES).alias("min_3"), Guard("at_most_one", "items").column(TYPES).alias("at_most_one"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE coalesce(o_orderstatus = 'O', false) AND NOT coalesce(o_totalprice > 100000, false)")
@@ -253,7 +255,7 @@ def definition_plan(spark, d):
     return emit.definition_plan(emit.repeated_payloads(t(spark, d, "documents"), "text"), 10)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_size AS src, (p_size * 7 + 3) % 53 AS dst FROM part), r(node, depth) AS (SELECT 1, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 64)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_size AS src, (p_size * 7 + 3) % 53 AS dst FROM part), r(node, depth) AS (SELECT 1, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 53)
 SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def definition_reach(spark, d):
     e = t(spark, d, "part").select(F.col("p_size").alias("src"), ((F.col("p_size") * 7 + 3) % 53).alias("dst")).distinct()
@@ -280,19 +282,14 @@ def split_join(spark, d):
     return t(spark, d, "part").select("p_partkey", C.first(parts).alias("one"), F.size(parts).cast("bigint").alias("n"), F.array_join(parts, "/").alias("joined"), F.try_element_at(T.split_map(k, " "), F.lit("_1")).alias("second"))
 
 
-@query("SELECT doc_id, sha1(text) AS s1, sha256(text) AS s256, base64(encode(left(text, 20))) AS enc, left(text, 20) AS back FROM documents")
+@query("SELECT doc_id, sha1(text) AS s1, sha256(text) AS s256, base64(encode(text)) AS enc, text AS back FROM documents")
 def checksums(spark, d):
-    short = F.left("text", F.lit(20))
-    return t(spark, d, "documents").select("doc_id", T.sha1sum(F.col("text")).alias("s1"), T.sha256sum(F.col("text")).alias("s256"), T.b64enc(short).alias("enc"), T.b64dec(T.b64enc(short)).alias("back"))
-
-
-@query("SELECT doc_id, base64(encode(text)) AS enc, text AS back FROM documents")
-def base64_whole(spark, d):
     text = F.col("text")
-    return t(spark, d, "documents").select("doc_id", T.b64enc(text).alias("enc"), T.b64dec(T.b64enc(text)).alias("back"))
+    return t(spark, d, "documents").select("doc_id", T.sha1sum(text).alias("s1"), T.sha256sum(text).alias("s256"), T.b64enc(text).alias("enc"), T.b64dec(T.b64enc(text)).alias("back"))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS v FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, len(v) AS n, v FROM b)
+SELECT doc_id, CAST(coalesce(list_sum(list_transform(v, lambda x, i: (n - i + 1) * x)), 0) + n AS BIGINT) % 65521 * 65536 + CAST(1 + coalesce(list_sum(v), 0) AS BIGINT) % 65521 AS a32 FROM c UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
 def adler32(spark, d):
     return t(spark, d, "documents").select("doc_id", T.adler32sum(F.col("text")).alias("a32"))
 
@@ -302,18 +299,9 @@ def printf_lines(spark, d):
     return t(spark, d, "part").select("p_partkey", T.printf("%s=%d", F.col("p_brand"), F.col("p_size")).alias("line"))
 
 
-@query("""WITH a AS (SELECT vec_id, embedding[1:6] AS e FROM embeddings) SELECT vec_id, e[1] AS first_of, e[-1] AS last_of, len(e[1:len(e) - 1]) AS n_initial, len(e[2:]) AS n_rest, len(list_distinct(e)) AS n_uniq, e[2:3][1] AS second_of,
-len(list_concat(e, e)) AS n_both, list_contains(e, e[3]) AS has_third, list_reverse(e)[1] AS reversed_first, len(list_filter(e, lambda x: x <> 0)) AS n_compact FROM a""")
-def list_ops(spark, d):
-    e = F.col("e")
-    a = t(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 6).alias("e"))
-    big = lambda c: F.size(c).cast("bigint")
-    return a.select("vec_id", C.first(e).alias("first_of"), C.last(e).alias("last_of"), big(C.initial(e)).alias("n_initial"), big(C.rest(e)).alias("n_rest"), big(C.uniq(e)).alias("n_uniq"), C.first(C.slice_of(e, 1, 3)).alias("second_of"), big(C.concat(e, e)).alias("n_both"), F.array_contains(e, F.get(e, F.lit(2))).alias("has_third"), C.first(F.reverse(e)).alias("reversed_first"), big(C.compact(e, "float")).alias("n_compact"))
-
-
 @query("""WITH a AS (SELECT vec_id, embedding AS e FROM embeddings) SELECT vec_id, e[1] AS first_of, e[-1] AS last_of, len(e[1:len(e) - 1]) AS n_initial, len(e[2:]) AS n_rest, len(list_distinct(e)) AS n_uniq, e[2:3][1] AS second_of,
 len(list_concat(e, e)) AS n_both, list_contains(e, e[3]) AS has_third, list_reverse(e)[1] AS reversed_first, len(list_filter(e, lambda x: x <> 0)) AS n_compact FROM a""")
-def list_ops_whole(spark, d):
+def list_ops(spark, d):
     e = F.col("e")
     a = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e"))
     big = lambda c: F.size(c).cast("bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shalebed.functions import paths, text, truth
 from shalebed.functions.guards import Guard, overlay
 from shalebed.operators import boolalg, compose, contracts, emit, lattice
-from shalebed.plans.catalogue import QUERIES, SQL
+from shalebed.plans.shapes import QUERIES, SQL
 from shalebed.sources import documents
 
 SF = "/root/testdata/sf0.001"
