@@ -174,7 +174,7 @@ def _index(classes_bc, percent: int, bits: int, width: int, clashing: frozenset[
             cuts = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
             ends = np.r_[cuts[1:], len(pid)]
             spans = list(zip(cuts, ends, strict=True))
-            yield batch(_KEYS, pid=pid[cuts], prev=[prev[a:b].tobytes() if pid[a] < 0 else b"" for a, b in spans], **{k: [x[a:b].tobytes() for a, b in spans] for k, x in (("tok", tok), ("sig", sig), ("n", n), ("left", left), ("rare", rare))})
+            yield batch(_KEYS, pid=pid[cuts], **{k: [x[a:b].tobytes() for a, b in spans] for k, x in (("tok", tok), ("sig", sig), ("n", n), ("left", left))}, **{k: [x[a:b].tobytes() if pid[a] < 0 else b"" for a, b in spans] for k, x in (("rare", rare), ("prev", prev))})
 
         for b in batches:
             for text in b.column(0):
@@ -212,10 +212,10 @@ def _propose(percent: int):
         tok = np.frombuffer(b"".join(pdf["tok"]), np.uint64)
         sig = np.frombuffer(b"".join(pdf["sig"]), np.int64)
         n = np.frombuffer(b"".join(pdf["n"]), np.uint16).astype(np.int32)
-        left, rare = (np.frombuffer(b"".join(pdf[c]), np.uint16).astype(np.int32) for c in ("left", "rare"))
+        left = np.frombuffer(b"".join(pdf["left"]), np.uint16).astype(np.int32)
         is_hot = int(pdf["pid"].iloc[0]) < 0
         if is_hot:
-            prev = np.frombuffer(b"".join(pdf["prev"]), np.int64)
+            prev, rare = np.frombuffer(b"".join(pdf["prev"]), np.int64), np.frombuffer(b"".join(pdf["rare"]), np.uint16).astype(np.int32)
         else:  # the rows of a rare shingle have nothing before it in common
             prev, rare = as_i64(mix(tok ^ sig.view(np.uint64))), n - left
         order = np.lexsort((sig, tok))
@@ -349,7 +349,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the index's shuffle files
 
     low = F.lit(-(2**63))
-    holder = keep(rows.where("sig is not null").groupBy("sig").agg(F.min(F.coalesce("doc_id", low)).alias("id")), "holders")  # a row that has the set
+    each = rows.where("sig is not null").groupBy("sig", F.coalesce("doc_id", low).alias("id"), "text_hash").agg(F.count("*").alias("times"))
+    holder = keep(each.groupBy("sig").agg(F.min(F.struct("id", "text_hash", "times")).alias("first")).select("sig", "first.*"), "holders")  # a row that has the set, and how often it is repeated
 
     pool: list[DataFrame] = []  # the sets that were read again so far
 
@@ -374,10 +375,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             new = new.join(known.select("sig"), "sig", "left_anti")
         new = keep(new.join(holder, "sig"), "new")
         again = src.withColumn("id", F.coalesce("doc_id", low)).join(small(new.select("id").distinct()), "id", "left_semi").select("doc_id", "text", "text_hash")
-        again = again.mapInArrow(_sets(width, False, clashing, sig_bits), _SETS_DDL).select("sig", F.coalesce("doc_id", low).alias("id"), "n", "sketch", "shingles")
-        pool.append(keep(again.join(small(new), ["sig", "id"], "left_semi").select("sig", "n", "sketch", "shingles").dropDuplicates(["sig"]), "held"))
+        again = again.mapInArrow(_sets(width, False, clashing, sig_bits), _SETS_DDL).select("sig", F.coalesce("doc_id", low).alias("id"), "text_hash", "n", "sketch", "shingles")
+        held = keep(again.join(small(new.drop("times")), ["sig", "id", "text_hash"], "left_semi").select("sig", "n", "sketch", "shingles"), "held")
+        repeated = new.where("times > 1").select("sig")  # rows that repeat id and text: one of them is enough
+        if repeated.take(1):
+            held = held.join(repeated, "sig", "left_anti").unionByName(held.join(repeated, "sig", "left_semi").dropDuplicates(["sig"]))
+        else:
+            drop(new)
+        pool.append(held)
         maybe = keep(with_sides(p, need, small, n="n", sketch="k").mapInArrow(_may_link(percent), "a long, b long"), "maybe")
-        return keep(with_sides(maybe, *needed(maybe), shingles="s").mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
+        drop(p)
+        drop(need)
+        need, small = needed(maybe)
+        out = keep(with_sides(maybe, need, small, shingles="s").mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
+        drop(maybe)
+        drop(need)
+        return out
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs of sets that link. Only texts that some pair needs are read into sets again, and once."""
@@ -389,6 +402,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fits = f"(least(n - rare, m - rare2, (n - rest - rare + m - rest2 - rare2) div 3 + least(rest, rest2)) * {100 + percent} >= {percent} * (n + m) or n = 65535 or m = 65535)"  # see most_common
     hot = keep(found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("sig"), "n", "rest", "rare", "prev").dropDuplicates(["key", "sig"]), "hot")
     any_hot = bool(hot.take(1))
+    few = keep(found.where("kind < 2").select("kind", "a", "b"), "few")
+    drop(found)
+    found = few
     largest = hot.groupBy("key").count().agg(F.max("count").alias("c")).first()["c"] or 0
     salts = max(1, min(64, -(-largest // KEY_ROWS)))
 
