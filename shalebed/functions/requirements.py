@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shalebed.functions import truth
 from shalebed.functions.guards import FALSY, TRUTHY
+from shalebed.operators.lattice import allows_type
 
 # Which content a quoted or plain YAML scalar can hold as it is.
 DOUBLE_QUOTED = r'^([^"\\]|\\["\\/0abtnvfre N_LP]|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*$'
@@ -226,7 +227,8 @@ class Target:
         values, entries = F.coalesce(elements, F.map_values(fields)), F.map_entries(fields)
         a = self.arg
         if self.kind == "keys":
-            test = F.forall(F.map_keys(fields), lambda k: every(_as_variant(k)))
+            places = (F.size(elements) == 0) | every(F.parse_json(F.lit("0")))  # an array's keys are its places
+            test = F.coalesce(F.forall(F.map_keys(fields), lambda k: every(_as_variant(k))), places)
         elif self.kind == "members":
             test = F.forall(values, every)
         elif self.kind == "members_except":
@@ -254,7 +256,7 @@ class Target:
             return leaf
         kinds = ["array", *(["integer"] if self.allow_integer else []), "null", "object"]
         if self.kind == "keys":
-            return {"type": kinds, "propertyNames": leaf}
+            return {"type": kinds, "propertyNames": leaf} | ({} if allows_type(leaf, "integer") else {"maxItems": 0})
         if self.kind == "members_except":
             return {"type": kinds, "items": leaf, "properties": {k: {} for k in sorted(a)}, "additionalProperties": leaf}
         if self.kind == "members_prefix":

@@ -134,7 +134,8 @@ def valid(schema, value) -> bool:
     t = L.types_of(schema)
     if t and kind not in t and not (kind == "integer" and "number" in t):
         return False
-    same = lambda a, b: L.canonical(a) == L.canonical(b)
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    same = lambda a, b: a == b if number(a) and number(b) else L.canonical(a) == L.canonical(b)
     if "const" in schema and not same(schema["const"], value) or "enum" in schema and not any(same(x, value) for x in schema["enum"]):
         return False
     if isinstance(value, str):

@@ -154,7 +154,7 @@ wide("targets_of_requirements", {
     "members_where": (bound(Target("members_where", (("m",), "on", ("n",))), _PRESENT), f"{_EMPTY} OR (is_arr OR is_obj) AND len(list_filter(members, lambda x: coalesce(json_extract_string(x, '$.m') = 'on', false) AND coalesce(TRY_CAST(json_extract_string(x, '$.n') AS DOUBLE), 0) = 0)) = 0"),
     "members_at": (bound(Target("members_at", ("m",)), _STR), f"{_EMPTY} OR (is_arr OR is_obj) AND len(list_filter(members, lambda x: json_type(x, '$.m') IS NULL)) = 0"),
     "members_at_truthy": (bound(Target("members_at_truthy", (("m",), ("n",))), _PRESENT), f"{_EMPTY} OR (is_arr OR is_obj) AND len(list_filter(members, lambda x: coalesce(json_extract_string(x, '$.m') <> '', false) AND coalesce(TRY_CAST(json_extract_string(x, '$.n') AS DOUBLE), 0) = 0)) = 0"),
-    "keys": (bound(Target("keys"), Requirement("length", (1, 2))), f"{_EMPTY} OR is_obj AND len(list_filter(keys, lambda x: length(x) > 2)) = 0"),
+    "keys": (bound(Target("keys"), Requirement("length", (1, 2))), f"{_EMPTY} OR is_arr AND len(items) = 0 OR is_obj AND len(list_filter(keys, lambda x: length(x) > 2)) = 0"),
 })
 
 
