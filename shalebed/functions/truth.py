@@ -43,12 +43,12 @@ def items(value: Column) -> Column:
     return get(value, kind="array<variant>")
 
 
-def kind_of(value: Column) -> Column:
-    """JSON kind of a VARIANT: array, boolean, integer, null, number, object, string; NULL when missing."""
-    t = F.schema_of_variant(value)
+def kind_of(value: Column, shape: Column | None = None) -> Column:
+    """JSON kind of a VARIANT: array, boolean, integer, null, number, object, string; NULL when missing. shape: schema_of_variant of it, where a column holds that already."""
+    t = F.schema_of_variant(value) if shape is None else shape
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.is_variant_null(value), "null")
+        .when(t == "VOID", "null")
         .when(t.startswith("ARRAY"), "array")
         .when(t.startswith("OBJECT"), "object")
         .when(t == "BOOLEAN", "boolean")
@@ -58,15 +58,16 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def truthy_variant(value: Column) -> Column:
+def truthy_variant(value: Column, shape: Column | None = None) -> Column:
     """By kind, and of containers by their first member: nothing below is rendered."""
-    kind = kind_of(value)
+    shape = F.schema_of_variant(value) if shape is None else shape
+    kind = kind_of(value, shape)
     return F.coalesce(
         F.when(kind == "boolean", get(value, kind="boolean"))
         .when(kind.isin("integer", "number"), get(value, kind="double") != 0)
         .when(kind == "string", get(value, kind="string") != "")
         .when(kind == "array", get(value, 0).isNotNull())
-        .when(kind == "object", F.schema_of_variant(value) != "OBJECT<>")
+        .when(kind == "object", shape != "OBJECT<>")
         .otherwise(False),
         F.lit(False),
     )

@@ -25,7 +25,8 @@ def shred(df: DataFrame, id_col: str, document: Column, depth: int = 8) -> DataF
         nodes = nodes.select("id", F.inline(F.when(F.col("fresh"), F.concat(own, _kids())).otherwise(F.array(F.struct("path", "v", "fresh")))))
     deeper = F.coalesce(F.col("fresh") & (F.coalesce(F.size(truth.members(F.col("v"))), F.size(truth.items(F.col("v")))) > 0), F.lit(False))
     path = F.when(deeper, F.raise_error(F.concat(F.lit(f"below more than {depth} levels: "), F.col("path")))).otherwise(F.col("path"))
-    return nodes.select("id", path.alias("path"), kind_of(F.col("v")).alias("kind"), truthy_variant(F.col("v")).alias("truthy"))
+    shaped = nodes.select("id", path.alias("path"), "v", F.schema_of_variant("v").alias("shape"))
+    return shaped.select("id", "path", kind_of(F.col("v"), F.col("shape")).alias("kind"), truthy_variant(F.col("v"), F.col("shape")).alias("truthy"))
 
 
 def _kids() -> Column:
