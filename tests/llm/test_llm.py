@@ -377,3 +377,11 @@ def test_components_of_chains_and_rings(spark):
     got = {x["node"]: x["label"] for x in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {n: min(part) for part in (names[:61], names[70:90], names[100:110]) for n in part}
     assert got == want
+
+
+def test_components_of_a_node_of_many_neighbours(spark):
+    r = random.Random(10)
+    names = r.sample(range(10**6), 1300)
+    edges = [(names[0], n) for n in names[1:700]] + [(names[700], n) for n in names[701:1300]] + [(names[650], names[1200])]
+    got = {x["node"]: x["label"] for x in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(names, min(names))
