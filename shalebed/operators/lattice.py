@@ -232,7 +232,7 @@ def _lower_one(kind: str, rigid: dict, p: dict) -> list[dict]:
     if "soft" in p:
         out |= _one_value(p["soft"])
     if p.get("enums"):
-        common = intersect_enums(p["enums"])
+        common = intersect_enums(*p["enums"])
         if common is not None and all(_fits(x, out) for x in common):
             return [out | {"enum": common}]
         return [out | {"enum": e} for e in p["enums"]]
@@ -299,7 +299,7 @@ def only_type(schema: dict, kind: str) -> bool:
     return bool(arms) and all(only_type(s, kind) for s in arms)
 
 
-def intersect_enums(enums: list[list]) -> list | None:
+def intersect_enums(*enums: list) -> list | None:
     """What all of them hold, in canonical order; None if there is nothing."""
     keys = set.intersection(*[{canonical(x) for x in e} for e in enums])
     return [json.loads(k) for k in sorted(keys)] or None
@@ -409,3 +409,12 @@ def fold_schemas(df: DataFrame, json_col: str, group_col: str, salts: int = 32)
     part = part.withColumn("salt", F.pmod(F.xxhash64("state"), F.lit(salts))).groupBy("g", "salt").applyInPandas(fold, "g string, state string")
     out = part.groupBy("g").applyInPandas(fold, "g string, state string").mapInPandas(finish, "g string, schema string")
     return out.withColumnRenamed("g", group_col)
+
+
+def descend(schema: dict, segments: list[str], root: dict | None = None) -> dict | None:
+    """The subschema at a path within one document, references followed."""
+    from shalebed.operators import refs
+
+    whole = schema if root is None else root
+    found = refs.descend(schema, segments, "", lambda name: None if name else whole)
+    return None if found is None else refs.resolve(found[0], "", lambda name: None if name else whole)[0]

@@ -159,3 +159,22 @@ def test_charts_in_archives(spark, chart, tmp_path):
 def test_guards_of_conditions():
     c = B.both(I.test("truthy", ("a",)), B.negate(I.test("eq", ("b",), 1)))
     assert I.guards_of(c) == [[Guard("not_guard", arg=Guard("eq", "b", 1)), Guard("truthy", "a")]] and I.guards_of(I.unknown("x")) is None
+
+
+def test_sinks_and_dumps(spark, tmp_path):
+    from shalebed.sources import sinks
+
+    measures = sinks.write_schema(spark, {"type": "object", "if": {}, "then": {}}, str(tmp_path / "s"), {"fail": True})
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "s")).collect())
+    assert measures["ifs"] == 1 and '"x-policy"' in text
+    rows = spark.createDataFrame([("b.c", "x"), ("b", "y"), ("bc", "z")], "source_path string, kind string")
+    sinks.write_contract(rows, str(tmp_path / "c"))
+    assert sinks.read_contract(spark, str(tmp_path / "c")).columns == ["source_path", "kind"]
+    d = spark.createDataFrame([("unreadable", "t.yaml", "bad\n thing")], "type string, key string, message string")
+    sinks.write_diagnostic_text(d, str(tmp_path / "d"))
+    assert spark.read.text(str(tmp_path / "d")).first()[0] == "error[unreadable] t.yaml: bad thing"
+    moved = sinks.rewrite_paths(rows, spark.createDataFrame([("b", "q.r"), ("b.c", "s")], "old string, new string"))
+    assert {r["source_path"] for r in moved.collect()} == {"s", "q.r", "bc"}
+    nodes = P.parse('{{ define "h" }}x{{ end }}{{ $a := .Values.b | default 1 }}{{ range $k, $v := $a.c }}{{ (index . 0).d }}{{ else }}e{{ end }}')
+    assert sinks.dump_nodes(nodes) == "(define 'h'\n  (text 'x'))\n(declare $a (default 1 .Values.b))\n(range $k $v $a.c\n  (output ((index . 0)).d))\n(else\n  (text 'e'))"
+    assert sinks.dump_uses(I.analyse("a: {{ .Values.x }}")["uses"]) == "a scalar <- x when always"
