@@ -317,9 +317,8 @@ def fail(message: Column) -> Column:
 def capability_has(apis: DataFrame, api: str, asked: DataFrame, key: str) -> DataFrame:
     """asked with `present`: true where apis (column api) names the key; NULL, not false, where nothing at all is known."""
     known = apis.select(F.col(api).alias(key)).distinct().withColumn("_known", F.lit(True))
-    any_known = apis.select(F.lit(True).alias("_any")).limit(1)
-    j = asked.join(known, key, "left").join(F.broadcast(any_known), F.lit(True), "left")
-    return j.withColumn("present", F.when(F.col("_any").isNotNull(), F.col("_known").isNotNull())).drop("_known", "_any")
+    j = asked.join(known, key, "left")
+    return j.withColumn("present", F.when(F.lit(bool(apis.take(1))), F.col("_known").isNotNull())).drop("_known")
 
 
 def files_get(files: DataFrame, path: str, text: str, asked: DataFrame, key: str) -> DataFrame:

@@ -66,9 +66,9 @@ def candidate_order(source: Column, origin: Column, api_version: Column) -> Colu
     return F.struct(rank.alias("source"), F.when(origin == "collection", 0).otherwise(1).alias("origin"), (-v["stage"]).alias("stage"), (-v["number"]).alias("number"), (-v["minor"]).alias("minor"), api_version.alias("api_version"))
 
 
-def lookup_trace(asked: DataFrame, providers: DataFrame, answers: DataFrame, key: list[str], rank: str) -> DataFrame:
-    """(key, rank, outcome) of every attempt up to the one that answers: later providers are never asked. providers are a few."""
-    tries = asked.select(*key).distinct().crossJoin(F.broadcast(providers.select(rank)))
+def lookup_trace(asked: DataFrame, providers: list[int], answers: DataFrame, key: list[str], rank: str) -> DataFrame:
+    """(key, rank, outcome) of every attempt up to the one that answers: later providers, by rank, are never asked."""
+    tries = asked.select(*key).distinct().withColumn(rank, F.explode(F.array(*[F.lit(p) for p in providers])))
     hit = answers.select(*key, rank).distinct().withColumn("_hit", F.lit(True))
     j = tries.join(hit, [*key, rank], "left")
     first = j.where("_hit").groupBy(*key).agg(F.min(rank).alias("_first"))

@@ -391,8 +391,7 @@ SELECT p_partkey AS k, x.r, CASE WHEN a.k IS NOT NULL THEN 'found' ELSE 'missing
 def lookup_traces(spark, d):
     li = t(spark, d, "lineitem")
     a = li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k"), F.lit(1).alias("r")).union(li.where("l_quantity > 10").select("l_partkey", F.lit(2)))
-    providers = spark.createDataFrame([(0,), (1,), (2,)], "r int")
-    return catalog.lookup_trace(t(spark, d, "part").select(F.col("p_partkey").alias("k")), providers, a, ["k"], "r")
+    return catalog.lookup_trace(t(spark, d, "part").select(F.col("p_partkey").alias("k")), [0, 1, 2], a, ["k"], "r")
 
 
 @query("""WITH b AS (SELECT l_orderkey, min(l_linenumber % 3) AS m FROM lineitem GROUP BY 1), x AS (SELECT l.l_orderkey, min(l_returnflag) AS v, max(l_returnflag) AS w FROM lineitem l JOIN b ON b.l_orderkey = l.l_orderkey AND l.l_linenumber % 3 = b.m GROUP BY 1)

@@ -178,3 +178,35 @@ def test_sinks_and_dumps(spark, tmp_path):
     nodes = P.parse('{{ define "h" }}x{{ end }}{{ $a := .Values.b | default 1 }}{{ range $k, $v := $a.c }}{{ (index . 0).d }}{{ else }}e{{ end }}')
     assert sinks.dump_nodes(nodes) == "(define 'h'\n  (text 'x'))\n(declare $a (default 1 .Values.b))\n(range $k $v $a.c\n  (output ((index . 0)).d))\n(else\n  (text 'e'))"
     assert sinks.dump_uses(I.analyse("a: {{ .Values.x }}")["uses"]) == "a scalar <- x when always"
+
+
+def test_functions_that_join(spark):
+    from pyspark.sql import functions as F
+
+    from shalebed.functions import collections as C
+
+    asked = spark.createDataFrame([("v1", "a.txt"), ("x/v1", "b.txt")], "k string, f string")
+    apis = spark.createDataFrame([("v1",)], "api string")
+    assert {r["k"]: r["present"] for r in C.capability_has(apis, "api", asked, "k").collect()} == {"v1": True, "x/v1": False}
+    assert {r["present"] for r in C.capability_has(apis.limit(0), "api", asked, "k").collect()} == {None}
+    files = spark.createDataFrame([("a.txt", "hello")], "path string, text string")
+    assert {r["f"]: r["file_text"] for r in C.files_get(files, "path", "text", asked, "f").collect()} == {"a.txt": "hello", "b.txt": ""}
+    assert [r["v"] for r in C.lookup_objects(spark.createDataFrame([("v1", 5)], "k string, v int"), asked, ["k"], "v").orderBy("k").collect()] == [5, None]
+    one = spark.createDataFrame([("", None)], "s string, n string")
+    assert one.select(C.violation(F.col("s") == "", "empty").alias("v")).first()["v"] == "empty"
+    for column in (C.required(F.col("s"), "string", "need s"), C.required(F.col("n"), "string", "need n"), C.fail(F.lit("stop"))):
+        with pytest.raises(Exception, match="need|stop"):
+            one.select(column).collect()
+    with pytest.raises(Exception, match="no object"):
+        one.select(C.dig(F.parse_json(F.lit('{"a":1}')), ["a", "b"], F.lit("d"))).collect()
+
+
+def test_knobs():
+    from shalebed.sources.charts import resolve_config
+
+    presets, built_in = {"default": {"a": 1}, "lean": {"a": 2, "b": 2}}, {"a": 0, "b": 0, "c": 0}
+    assert resolve_config({}, {"b": 5}, presets, built_in) == {"a": 1, "b": 5, "c": 0, "profile": "default"}
+    assert resolve_config({"profile": "lean", "c": 9}, {"b": 5, "profile": "default"}, presets, built_in) == {"a": 2, "b": 2, "c": 9, "profile": "lean"}
+    assert resolve_config({}, {"profile": "lean"}, presets, built_in)["a"] == 2
+    with pytest.raises(ValueError):
+        resolve_config({"profile": "none"}, None, presets, built_in)
