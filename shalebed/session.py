@@ -97,6 +97,18 @@ class Session:
                 found.append(schema_tree.preimage(refs.expand(at[0], at[1], lambda name: root), s["kind"]))  # noqa: B023
         return L.intersect([f for f in found if f])
 
+    def required_sinks(self) -> list[dict]:
+        """What resources require of the values that fill their fields: schema_tree.required_sources() of every rendered use whose sink is required."""
+        if self.schemas is None:
+            return []
+        sinks = []
+        for r in self.contract.where("row = 'use' and api_version is not null and resource_kind is not null").select("source_path", "sink_path", "kind", "condition", "api_version", "resource_kind").distinct().collect():
+            root = self._resources.get((r["api_version"], r["resource_kind"]))
+            at = None if root is None else refs.descend(root, list(r["sink_path"]), "", lambda name: root)  # noqa: B023
+            if at is not None:
+                sinks.append({"source_path": r["source_path"], "required": at[2], "kind": r["kind"], "condition": r["condition"]})
+        return schema_tree.required_sources(sorted(sinks, key=L.canonical), self.values)
+
     @functools.cached_property
     def _resources(self) -> dict:
         """Schemas of the resources that the chart names: as many as it has kinds."""
@@ -149,6 +161,9 @@ class Session:
         if selects(policy, "fail"):
             for r in self.aborts().collect():
                 root = self._forbid(root, r["condition"])
+        if selects(policy, "required"):
+            for x in self.required_sinks():
+                root = self._demand(root, x)
         described = {tuple(split_segments(r["path"])): r["description"] for r in C.descriptions(self.files.where(F.col("dir") == "")).collect()}
         root = L.attach_descriptions(root, described)
         return intern(root) if minimize else root
@@ -158,18 +173,39 @@ class Session:
 
         return value_at(self.values, split_segments(path))[1]
 
+    def _demand(self, root: dict, x: dict) -> dict:
+        """A value that a resource requires, where the use renders; uses under conditions that can't be told demand nothing."""
+        from shalebed.functions.guards import lower_set
+
+        *host, leaf = split_segments(x["path"])
+        there = {"not": {"type": "null"}}
+        if x["target"] == "value":
+            then = {"required": [leaf], "properties": {leaf: there}}
+        else:
+            inner = there
+            for f in reversed(x["field"]):
+                inner = {"type": "object", "required": [f], "properties": {f: inner}}
+            then = {"properties": {leaf: {"items": inner, "additionalProperties": inner}}}
+        for term in x["condition"]:
+            guards = _guards([term])
+            guards = [g for g in guards if not (g.kind in ("range", "with") and g.path == x["path"])] if guards is not None else None
+            low = lower_set(guards) if guards is not None else None
+            if low is None:
+                continue
+            if low:
+                root = schema_tree.append_conditional(root, ".".join(host) if all("." not in h for h in host) else "", low, then)
+            else:
+                at = schema_tree.at(root, ".".join(host)) if host else root
+                if at is not None:
+                    root = schema_tree.replace(root, host, at | {"allOf": [*at.get("allOf", []), then]})
+        return root
+
     def _forbid(self, root: dict, condition) -> dict:
         """No document may meet a condition under which rendering aborts; conditions that can't be told forbid nothing, nor do those that the shipped values meet."""
-        from shalebed.functions.guards import Guard, evaluate, terminal_clause
+        from shalebed.functions.guards import evaluate, terminal_clause
 
         for term in condition:
-            guards = []
-            for kind, path, arg, wanted in T.literals([term]):
-                if kind in ("unknown", "api"):
-                    guards = None
-                    break
-                g = Guard(kind, path, tuple(arg) if isinstance(arg, list) else arg)
-                guards.append(g if wanted else Guard("not", path) if kind in ("truthy", "with") else Guard("not_guard", arg=g))
+            guards = _guards([term])
             clause = terminal_clause(guards) if guards else None
             if clause is not None and not evaluate([clause], self.values):
                 held = root.get("allOf", [])
@@ -177,6 +213,19 @@ class Session:
         return root
 
 
+def _guards(condition) -> list | None:
+    """One alternative's guards; None if a literal can't be told."""
+    from shalebed.functions.guards import Guard
+
+    out = []
+    for kind, path, arg, wanted in T.literals(condition):
+        if kind in ("unknown", "api"):
+            return None
+        g = Guard(kind, path, tuple(arg) if isinstance(arg, list) else arg)
+        out.append(g if wanted else Guard("not", path) if kind in ("truthy", "with") else Guard("not_guard", arg=g))
+    return out
+
+
 def compose(parent, child):
     """Values of a parent over a child's: the parent's win, and its nulls delete."""
     if not isinstance(parent, dict) or not isinstance(child, dict):

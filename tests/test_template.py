@@ -123,7 +123,7 @@ def test_chart_to_schema(spark, chart, tmp_path):
     from shalebed.session import Session
     from shalebed.sources import charts as C
 
-    schema = {"type": "object", "properties": {"spec": {"type": "object", "properties": {"replicas": {"type": "integer"}, "secret": {"type": "string"}, "resources": {"$ref": "#/definitions/r"}}}}, "definitions": {"r": {"type": "object", "properties": {"limits": {"type": "object"}}}}}
+    schema = {"type": "object", "properties": {"spec": {"type": "object", "properties": {"replicas": {"type": "integer"}, "secret": {"type": "string"}, "resources": {"$ref": "#/definitions/r"}}, "required": ["secret"]}}, "definitions": {"r": {"type": "object", "properties": {"limits": {"type": "object"}}}}}
     s = Session(spark, chart, spark.createDataFrame([("apps/v1", "Deployment", json.dumps(schema))], "api_version string, kind string, schema string"))
     found = {tuple(r["prefix"]): r for r in s.charts.collect()}
     assert set(found) == {(), ("db",), ("db2",)} and found["db",]["library"] and found["db",]["activation"][0]["conditions"] == ["db.enabled", "dbs.on"] and found["db",]["activation"][0]["tags"] == ["data"]
@@ -143,6 +143,9 @@ def test_chart_to_schema(spark, chart, tmp_path):
 
     assert valid(out, s.values) and not valid(out, s.values | {"replicas": "many"}) and not valid(out, s.values | {"enabled": True}) and valid(out, s.values | {"enabled": True, "secret": "x"})
     assert not valid(out, s.values | {"resources": {"limits": 3}})
+    assert [(x["path"], x["target"]) for x in s.required_sinks()] == [("secret", "value")]
+    asked = s._demand({"type": "object", "properties": {"m": {}}}, {"path": "m", "target": "members_at", "field": ["port"], "condition": [['["range","m",null]']]})
+    assert valid(asked, {"m": {"a": {"port": 1}}}) and not valid(asked, {"m": {"a": {}}}) and not valid(asked, {"m": [{"port": None}]}) and valid(asked, {"m": []})
 
 
 def test_charts_in_archives(spark, chart, tmp_path):
