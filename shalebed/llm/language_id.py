@@ -21,7 +21,7 @@ from shalebed.llm.common import crc_mod, small_batches, sum_arrays
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
-LOW_SHARE, LOW_FACTOR = 0.002, 0.6
+LOW_SHARE, LOW_FACTOR = 0.002, 1 / 3
 PIECE = 1_000_000  # code points that are hashed at once, with the last two of the piece before
 _WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals that are no decimal digits
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
@@ -119,14 +119,18 @@ class Model:
         self.labels, self.idf, self.w, self.t, self.lowest = labels, idf, w, t, lowest
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
-        """(label, calibrated score, evidence: the label's logit, which is low for texts of no learned language, whatever the score)."""
+        """(label, calibrated score, evidence).
+
+        The evidence is the label's logit over the root of the number of distinct grams: about what a gram says for the
+        label, in texts of any length. It is low for texts of no learned language, whatever the score.
+        """
         if not text or not has_letter(text) or not self.labels:
             return "und", 0.0, 0.0
         at, v = weigh(gram_counts(text), self.idf)
         logits = v @ self.w[at]
         p = softmax(logits / self.t)
         k = int(p.argmax())
-        return self.labels[k], float(p[k]), float(logits[k])
+        return self.labels[k], float(p[k]), float(logits[k]) / math.sqrt(max(1, len(at)))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out_mod: int = 5, held_out_rest: int = 0, sample_rows: int = 4000, epochs: int = 3) -> Model:
@@ -167,7 +171,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     w = m.weights()
     check = held or fitted
     t = temperature(np.array([v @ w[at] for at, v, _ in check]), np.array([y for _, _, y in check])) if len(labels) > 1 else 1.0
-    lowest = lowest_evidence([float((v @ w[at]).max()) for at, v, _ in check], len(labels))
+    lowest = lowest_evidence([float((v @ w[at]).max()) / math.sqrt(max(1, len(at))) for at, v, _ in check], len(labels))
     return Model(labels, idf, w.astype(np.float32), t, lowest)
 
 

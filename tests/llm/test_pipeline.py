@@ -57,7 +57,7 @@ def test_language_stage_rejects_noise(spark, folder):
 
 def test_lowest_evidence():
     assert language_id.lowest_evidence([], 4) == 0 and language_id.lowest_evidence([1.0] * 9, 1) == 0
-    assert language_id.lowest_evidence([2.0] * 9, 4) == pytest.approx(1.2) and language_id.lowest_evidence([-1.0, -2.0], 3) == 0
+    assert language_id.lowest_evidence([2.0] * 9, 4) == pytest.approx(2 / 3) and language_id.lowest_evidence([-1.0, -2.0], 3) == 0
 
 
 def test_exact_stage(spark, folder):
