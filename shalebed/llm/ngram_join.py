@@ -361,16 +361,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def needed(p: DataFrame) -> tuple[DataFrame, object]:
         """The sets that pairs name, and broadcast() if they are few enough for it."""
-        side = lambda c: p.select(F.col(c).alias("sig"), F.lit(c == "a").alias("as_a"), F.lit(c == "b").alias("as_b"))
-        need = keep(side("a").union(side("b")).groupBy("sig").agg(F.max("as_a").alias("as_a"), F.max("as_b").alias("as_b")), "needed")
+        need = keep(p.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "needed")
         return need, F.broadcast if need.count() <= broadcast_rows else (lambda df: df)
 
-    def with_sides(p: DataFrame, need: DataFrame, small, **cols: str) -> DataFrame:
-        """p with columns of the sets that it names; cols: column of the pool -> its name before a or b."""
-        held = functools.reduce(DataFrame.unionByName, pool).select("sig", *cols).join(small(need), "sig")
-        for c in ("a", "b"):
-            p = p.join(held.where(f"as_{c}").select(F.col("sig").alias(c), *[F.col(k).alias(v + c) for k, v in cols.items()]), c)
-        return p
+    def with_sides(p: DataFrame, **cols: str) -> DataFrame:
+        """p with columns of the sets that it names; cols: column of the pool -> its name before a or b. Few pairs go to the sets, not sets to the pairs."""
+        held = functools.reduce(DataFrame.unionByName, pool).select("sig", *cols)
+        pairs = F.broadcast(p) if p.count() <= broadcast_rows else p
+        sides = [held.join(pairs, F.col("sig") == F.col(c)).select("a", "b", *[F.col(k).alias(v + c) for k, v in cols.items()]) for c in ("a", "b")]
+        return sides[0].join(sides[1], ["a", "b"])
 
     def linked(pairs: DataFrame) -> DataFrame:
         p = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
@@ -388,13 +387,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             drop(new)
         pool.append(held)
-        maybe = keep(with_sides(p, need, small, n="n", sketch="k").mapInArrow(_may_link(percent), "a long, b long"), "maybe")
+        maybe = keep(with_sides(p, n="n", sketch="k").mapInArrow(_may_link(percent), "a long, b long"), "maybe")
         drop(p)
         drop(need)
-        need, small = needed(maybe)
-        out = keep(with_sides(maybe, need, small, shingles="s").mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
+        out = keep(with_sides(maybe, shingles="s").mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
         drop(maybe)
-        drop(need)
         return out
 
     def verified(pairs: DataFrame) -> DataFrame:
