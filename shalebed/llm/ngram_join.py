@@ -38,10 +38,11 @@ LEAST_FOR_PAIRS = 67  # percent, from which e unshared shingles come with at lea
 PAIRS_UP_TO = 32
 BLOCK = 1024
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("sig2", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
-_SETS_DDL = "doc_id long, text_hash long, n int, sig long, sig2 long, sketch binary, shingles binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("sig2", pa.int64()), ("small", pa.binary()), ("sketch", pa.binary()), ("shingles", pa.binary())])
+_SETS_DDL = "doc_id long, text_hash long, n int, sig long, sig2 long, small binary, sketch binary, shingles binary"
 MOST_CLASHING = 10_000
 SKETCH_BITS = 8  # a shingle, at least; a power of two in all
+FOLD = 4  # times that a small sketch is shorter
 
 
 def shingle_hashes(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -65,6 +66,12 @@ def sketch_of(h: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def folded(sketch: bytes) -> bytes:
+    """The same bitmap over fewer low hash bits. Of two sets with nothing in common it still tells about half the shingles apart."""
+    bits = np.frombuffer(sketch, np.uint8)
+    return np.bitwise_or.reduce(bits.reshape(-1, max(8, len(bits) // FOLD)), axis=0).tobytes()
+
+
 def most_shared(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> int:
     """An upper bound on the shared shingles of two sets, from their sketches: each bit of one that the other lacks is a shingle that it lacks."""
     size = min(len(x), len(y))
@@ -90,16 +97,18 @@ def _sets(width: int, with_counts: bool, clashing: frozenset[int] = frozenset(),
             out = {f.name: [] for f in _SETS}
             for doc_id, text, text_hash in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 h = shingle_hashes(words.of(words_of(text.as_py())), width)
-                sig = sig2 = blob = sketch = None
+                sig = sig2 = blob = small = sketch = None
                 if len(h):
                     blob = h.tobytes()
-                    sketch = None if with_counts else sketch_of(h)
+                    if not with_counts:
+                        sketch = sketch_of(h)
+                        small = folded(sketch)
                     sig, sig2 = signature(blob, clashing, bits)
                 if len(h) and with_counts:
                     blob = None
                     held.append((h >> np.uint64(64 - CLASS_BITS)).astype(np.int32))
                     n_held += len(h)
-                for k, v in (("doc_id", doc_id), ("text_hash", text_hash), ("n", len(h)), ("sig", sig), ("sig2", sig2), ("sketch", sketch), ("shingles", blob)):
+                for k, v in (("doc_id", doc_id), ("text_hash", text_hash), ("n", len(h)), ("sig", sig), ("sig2", sig2), ("small", small), ("sketch", sketch), ("shingles", blob)):
                     out[k].append(v)
             if n_held > 2_000_000:
                 counts += np.bincount(np.concatenate(held), minlength=1 << CLASS_BITS)
@@ -110,7 +119,7 @@ def _sets(width: int, with_counts: bool, clashing: frozenset[int] = frozenset(),
         if held:
             counts += np.bincount(np.concatenate(held), minlength=1 << CLASS_BITS)
         parts = np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)
-        yield batch(_SETS, doc_id=[None] * SLICES, text_hash=[None] * SLICES, n=[-1 - k for k in range(SLICES)], sig=[None] * SLICES, sig2=[None] * SLICES, sketch=[None] * SLICES, shingles=[zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in parts])
+        yield batch(_SETS, doc_id=[None] * SLICES, text_hash=[None] * SLICES, n=[-1 - k for k in range(SLICES)], sig=[None] * SLICES, sig2=[None] * SLICES, small=[None] * SLICES, sketch=[None] * SLICES, shingles=[zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in parts])
 
     return run
 
@@ -379,17 +388,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             new = new.join(known.select("sig"), "sig", "left_anti")
         new = keep(new.join(holder, "sig"), "new")
         again = src.withColumn("id", F.coalesce("doc_id", low)).join(small(new.select("id").distinct()), "id", "left_semi").select("doc_id", "text", "text_hash")
-        again = again.mapInArrow(_sets(width, False, clashing, sig_bits), _SETS_DDL).select("sig", F.coalesce("doc_id", low).alias("id"), "text_hash", "n", "sketch", "shingles")
-        held = keep(again.join(small(new.drop("times")), ["sig", "id", "text_hash"], "left_semi").select("sig", "n", "sketch", "shingles"), "held")
+        again = again.mapInArrow(_sets(width, False, clashing, sig_bits), _SETS_DDL).select("sig", F.coalesce("doc_id", low).alias("id"), "text_hash", "n", "small", "sketch", "shingles")
+        held = keep(again.join(small(new.drop("times")), ["sig", "id", "text_hash"], "left_semi").select("sig", "n", "small", "sketch", "shingles"), "held")
         repeated = new.where("times > 1").select("sig")  # rows that repeat id and text: one of them is enough
         if repeated.take(1):
             held = held.join(repeated, "sig", "left_anti").unionByName(held.join(repeated, "sig", "left_semi").dropDuplicates(["sig"]))
         else:
             drop(new)
         pool.append(held)
-        maybe = keep(with_sides(p, n="n", sketch="k").mapInArrow(_may_link(percent), "a long, b long"), "maybe")
-        drop(p)
         drop(need)
+        maybe = p
+        for bitmap in ("small", "sketch"):  # most pairs fall to the small ones, so that few whole ones move
+            before, maybe = maybe, keep(with_sides(maybe, n="n", **{bitmap: "k"}).mapInArrow(_may_link(percent), "a long, b long"), "maybe")
+            drop(before)
         out = keep(with_sides(maybe, shingles="s").mapInArrow(_overlaps(percent), "a long, b long").distinct(), "links")
         drop(maybe)
         return out

@@ -120,6 +120,21 @@ def test_neighbour_pairs_of_long_sets_pass_the_bound():
         assert any(found)
 
 
+def test_small_sketches_lose_no_link():
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(r.integers(1, 1500))
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[r.random(len(a)) > r.random() * 0.3], r.integers(0, 2**63, int(r.integers(1, n // 4 + 2)), dtype=np.uint64)])
+        other = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        whole = [ngram_join.sketch_of(x) for x in (a, b, other)]
+        small = [np.frombuffer(ngram_join.folded(x), np.uint8) for x in whole]
+        assert all(len(x) <= max(8, len(y) // 4) for x, y in zip(small, whole, strict=True))
+        assert ngram_join.most_shared(small[0], small[1], len(a), len(b)) >= len(np.intersect1d(a, b))
+        if n >= 100:  # nothing in common
+            assert 175 * ngram_join.most_shared(small[0], small[2], len(a), len(other)) < 75 * (len(a) + len(other))
+
+
 def test_jaccard_components_when_names_clash(docs):
     key = lambda r: str((r["doc_id"], r["n_shingles"], r["component_id"]))
     assert sorted(map(key, ngram_join.jaccard_components(docs, sig_bits=5).collect())) == sorted(map(key, ngram_join.jaccard_components(docs).collect()))
