@@ -60,6 +60,25 @@ def test_lowest_evidence():
     assert language_id.lowest_evidence([2.0] * 9, 4) == pytest.approx(2 / 3) and language_id.lowest_evidence([-1.0, -2.0], 3) == 0
 
 
+def test_language_model_comes_from_all_rows(spark, monkeypatch):
+    """Every label is learned however rare, and the bound is the quantile of the rows that all groups hold back."""
+    letters = {"aa": "abcdefg", "bb": "efghijk", "cc": "mnopqrs", "zz": "tuvwxyz"}
+    made = lambda cs, n: " ".join("".join(R.choice(cs) for _ in range(R.randint(2, 7))) for _ in range(n))
+    langs = [R.choice(("aa", "bb", "cc")) for _ in range(900)] + ["zz"] * 9
+    docs = spark.createDataFrame([(i, made(letters[lang], R.randint(10, 60)), lang) for i, lang in enumerate(langs)], "doc_id long, text string, lang string")
+    judged = []
+    monkeypatch.setattr(language_id, "least_of", lambda rows, f=language_id.least_of: (judged.append([r[0] for r in rows.collect()]), f(rows))[1])
+    m = language_id.fit(docs, sample_rows=100)
+    n = sum(common.crc_mod_py(i, 5) != 0 for i in range(len(langs)))
+    assert m.labels == ["aa", "bb", "cc", "zz"]
+    assert n / 5 - 10 <= len(judged[0]) <= n / 5 + 1
+    assert m.lowest == pytest.approx(language_id.lowest_evidence(judged[0], 4)) and m.lowest > 0
+    again = language_id.fit(docs.repartition(5, "text"), sample_rows=100)  # however the rows lie
+    assert (again.w == m.w).all() and (again.t, again.lowest) == (m.t, m.lowest)
+    hits = [m.predict(t)[0] == lang for t, lang in ((made(letters[lang], 40), lang) for lang in ("aa", "bb", "cc") for _ in range(20))]
+    assert sum(hits) >= 58
+
+
 def test_exact_stage(spark, folder):
     rows = [(1, "a b", "x"), (2, "a b", "y"), (2, "a b", "y"), (3, None, "x"), (4, "", "x"), (None, "a b", None), (None, "only null", None), (None, "only null", None), (5, "A b", "x"), (7, "x", "x"), (7, "y", "x")]
     out = pipeline.exact_stage(spark, table(spark, rows), folder)
