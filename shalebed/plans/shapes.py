@@ -223,10 +223,10 @@ def list_and_map_functions(spark, d):
 @query("""SELECT p_partkey, '{"brand":"' || p_brand || '","size":' || p_size || '}' AS json, p_size AS back, 'brand: ' || replace(p_brand, '#', '#') || chr(10) || 'size: ' || p_size AS yaml, p_brand AS from_yaml, CAST(NULL AS VARCHAR) AS broken, 2 AS n_items FROM part""")
 def serial_functions(spark, d):
     s = F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
-    json = C.to_json(s)
-    yaml = C.to_yaml(json)
-    return t(spark, d, "part").select(
-        "p_partkey", json.alias("json"), truth.get(C.from_json(json), "size", kind="int").alias("back"), yaml.alias("yaml"), truth.get(C.from_yaml(yaml), "brand", kind="string").alias("from_yaml"), truth.get(C.from_json(F.concat(F.lit("{"), json)), "size", kind="string").alias("broken"), F.size(C.from_json_array(F.lit("[1,{}]"))).alias("n_items")
+    json, yaml = F.col("json"), F.col("yaml")
+    p = t(spark, d, "part").repartition("p_partkey").select("p_partkey", C.to_json(s).alias("json"))  # a file may be one row group, which one task would read and turn to YAML
+    return p.withColumn("yaml", C.to_yaml(json)).select(
+        "p_partkey", "json", truth.get(C.from_json(json), "size", kind="int").alias("back"), "yaml", truth.get(C.from_yaml(yaml), "brand", kind="string").alias("from_yaml"), truth.get(C.from_json(F.concat(F.lit("{"), json)), "size", kind="string").alias("broken"), F.size(C.from_json_array(F.lit("[1,{}]"))).alias("n_items")
     )
 
 

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from shalebed.functions import paths, text, truth
+from shalebed.functions import collections, paths, text, truth
 from shalebed.functions.guards import Guard, overlay
 from shalebed.operators import boolalg, compose, contracts, emit, lattice
 from shalebed.plans.shapes import QUERIES, SQL
@@ -119,3 +119,56 @@ def test_stream_profile(spark, tmp_path):
     q.stop()
     got = {r["path"]: (r["n"], r["kinds"]) for r in total(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == {"a": (2, "integer,string"), "b": (1, "array")}
+
+
+SCALARS = ["Brand#7", "a b", "a:b", "http://h/p?q=1", "", " a", "a ", "a: b", "a #b", "a#b", "a - b", "- a", "yes", "Y", "NULL", "off", "~", "12", "1.5", "1e3", "2020-01-01", "0x1f", "1:30", "=", "<<", "{a}", "it's", 'a"b', "a\nb", "a\tb", "\x85", "é", "😀", "_x", "/a", "x" * 3000, 0, -7, 10**18, 10**30, 1.5, True, False, None, [], {}, [1], {"a": 1}]
+
+
+def test_flat_yaml_is_what_pyyaml_writes_and_reads():
+    import itertools
+    import json
+
+    import pandas as pd
+    import yaml
+
+    written = lambda v: yaml.safe_dump(v, default_flow_style=False, allow_unicode=True, sort_keys=True, width=2**31).removesuffix("\n...\n").removesuffix("\n")
+    documents_ = [{k: x, "m": y} for k in ("a", "z/y-x.w", "no", "N", "1", "a b", "", "k" * 100, "k" * 101, "é") for x, y in itertools.product(SCALARS, ["t", 3, "on"])] + [*SCALARS]
+    texts = [json.dumps(d) for d in documents_]
+    assert list(collections._to_yaml.func(pd.Series(texts))) == [written(d) for d in documents_]
+
+    def read(t):
+        try:
+            return json.dumps(yaml.safe_load(t), sort_keys=True, default=str)
+        except yaml.YAMLError:
+            return None
+
+    raw = [f"{k}: {x}{end}" for k in ("a", "no", "k" * 101, "- a", " a", "1") for x in [*map(str, SCALARS), "007", "-0", "1_0", "b\nc", "b\n  c", "b\nc: d", "b\na: 7", "true\nc: null", "No", "b\n- c", "b\n# c: d", "b\n\nc: d", "b\n---\nc: d"] for end in ("", "\n")]
+    wants = {}
+    for t in [written(d) for d in documents_] + raw + ["", "\n", "a", "a:", "a:b"]:
+        try:
+            wants[t] = read(t)
+        except TypeError:  # keys of several kinds have no order
+            assert collections._flat_mapping(t) is None
+    assert len(wants) > 1000 and list(collections._from_yaml.func(pd.Series(list(wants)))) == list(wants.values())
+
+
+def test_flat_yaml_needs_no_pyyaml(monkeypatch):
+    import pandas as pd
+    import yaml
+
+    def slow(*_, **__):
+        raise AssertionError("as slow as PyYAML")
+
+    monkeypatch.setattr(yaml, "safe_dump", slow)
+    monkeypatch.setattr(yaml, "safe_load", slow)
+    assert list(collections._to_yaml.func(pd.Series(['{"size":-3,"brand":"Brand#7","on_":true,"x":null}', None]))) == ["brand: Brand#7\non_: true\nsize: -3\nx: null", None]
+    assert list(collections._from_yaml.func(pd.Series(["size: -3\nbrand: Brand#7\non_: true\nx: null\n", None]))) == ['{"brand": "Brand#7", "on_": true, "size": -3, "x": null}', None]
+
+
+def test_serial_functions_share_the_rows_of_one_file(spark):
+    assert spark.read.parquet(f"{SF}/part.parquet").rdd.getNumPartitions() == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert QUERIES["serial_functions"](spark, SF).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
